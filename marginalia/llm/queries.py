@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import encode_texts
 from marginalia.llm.components import connected_groups
+from marginalia.llm.leak import leaked_items, leaked_spans
+from marginalia.llm.neardup import duplicate_classes, near_duplicates, row_pairs
 from marginalia.llm.split import split_texts
 
 
@@ -23,6 +26,15 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(_read(spark, sf, "chunks"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_duplicates(_read(spark, sf, "chunks"), "chunk_id", threshold=0.7, size=3, least_words=30)
+    return row_pairs(found).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_classes(_read(spark, sf, "chunks"), "chunk_id")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return connected_groups(_read(spark, sf, "graph_edges"))
 
@@ -31,7 +43,15 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(_read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p6_ids)}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+
+
+def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_spans(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p5_found, p6_ids, p7_found, p7_spans)}
 
 ORACLE: dict[str, str] = {
     "p1_found": "SELECT chunk_id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 2000",
