@@ -11,6 +11,7 @@ from marginalia.llm.bpe import encode_texts
 from marginalia.llm.components import connected_groups
 from marginalia.llm.leak import leaked_items, leaked_spans
 from marginalia.llm.neardup import duplicate_classes, near_duplicates, row_pairs
+from marginalia.llm.spam import page_measures, stuffed_pages
 from marginalia.llm.split import split_texts
 
 
@@ -51,7 +52,15 @@ def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_spans(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p5_found, p6_ids, p7_found, p7_spans)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffed_pages(_read(spark, sf, "documents")).select("doc_id")
+
+
+def p8_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return page_measures(_read(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p5_found, p6_ids, p7_found, p7_spans, p8_found, p8_measures)}
 
 ORACLE: dict[str, str] = {
     "p1_found": "SELECT chunk_id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 2000",
