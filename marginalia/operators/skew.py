@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1000
+HOT_ROWS = 1000
+
+
+def is_hot(n: Column, total: int) -> Column:
+    """True for keys that hold over a thousandth of all rows: there can be no more than ``HOT_SHARE`` of them."""
+    return n > max(total // HOT_SHARE, HOT_ROWS)
 
 
 def join_unique(big: DataFrame, unique: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
-    """``big`` joined on ``key`` to ``unique``, which has one row per key.
+    """``big`` joined ("inner" or "left") on ``key`` to ``unique``, which has one row per key.
 
-    ``counts`` (``key``, ``n``) tells how often a key stands in ``big``, ``total`` is their sum. Keys that
-    hold over a thousandth of all rows are at most ``HOT_SHARE`` many, so their rows of ``unique`` are broadcast and the
-    rows of ``big`` that have them never move; all other keys are shuffled.
+    ``counts`` (``key``, ``n``) tells how often a key stands in ``big``, ``total`` is their sum. The rows that hot keys have
+    in ``unique`` are broadcast, at most ``HOT_SHARE`` rows, so the rows of ``big`` that have them never move; all other
+    keys are shuffled.
     """
-    hot = counts.where(F.col("n") > max(total // HOT_SHARE, 1000)).select(key)
-    hot_rows = F.broadcast(unique.join(F.broadcast(hot), key, "left_semi").limit(HOT_SHARE))
-    hot_keys = F.broadcast(hot.limit(HOT_SHARE))
-    warm = big.join(hot_rows, key, how if how == "inner" else "inner")
-    rest = big.join(hot_keys, key, "left_anti").join(unique, key, how)
-    if how == "left":
-        kept = big.join(hot_keys, key, "left_semi").join(hot_rows, key, "left")
-        return kept.unionByName(rest)
-    return warm.unionByName(rest)
+    hot = counts.where(is_hot(F.col("n"), total)).select(key)
+    marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    few = F.broadcast(unique.join(F.broadcast(hot), key, "left_semi"))
+    there = marked.where("_hot").drop("_hot").join(few, key, how)
+    moved = marked.where("_hot IS NULL").drop("_hot").join(unique, key, how)
+    return there.unionByName(moved)

@@ -1,3 +1,47 @@
 """SQL with the same results as the core's queries, for DuckDB."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+_WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+
+
+def _blank(c: str) -> str:
+    return f"({c} IS NULL OR {_strip(c)} = '')"
+
+
+def _normalized(c: str) -> str:
+    return rf"replace(regexp_replace({_strip(f'lower({c})')}, '\.(md|canvas|pdf|png|jpg|jpeg|gif|svg|webp)$', ''), ' ', '-')"
+
+
+def _stem(c: str) -> str:
+    name = f"regexp_extract({c}, '[^/]*$')"
+    return rf"CASE WHEN substring({name}, 2) LIKE '%.%' THEN regexp_replace({name}, '\.[^.]*$', '') ELSE {name} END"
+
+
+ORPHANS = f"""
+WITH notes AS (SELECT DISTINCT path, first_seen_at s, deleted_at d FROM note_catalog WHERE NOT {_blank("path")}),
+named AS (
+  SELECT {_normalized("path")} AS name, path FROM notes
+  UNION SELECT {_normalized(_stem("path"))}, path FROM notes
+  UNION SELECT alias_normalized, note_path FROM aliases WHERE NOT {_blank("alias_normalized")} AND NOT {_blank("note_path")}),
+lives AS (
+  SELECT 'p' || path AS k, s, d FROM notes
+  UNION SELECT 'n' || name, s, d FROM named JOIN notes USING (path)),
+refs AS (
+  SELECT 'links' AS src_table, 'from_note_path' AS ref_field, link_id AS row_id, 'p' || from_note_path AS k, recorded_at AS t FROM links WHERE NOT {_blank("from_note_path")}
+  UNION ALL SELECT 'links', 'target', link_id, CASE WHEN NOT {_blank("to_note_path")} THEN 'p' || to_note_path WHEN NOT {_blank("link_target_normalized")} THEN 'n' || link_target_normalized END, recorded_at FROM links WHERE link_type IS DISTINCT FROM 'external'
+  UNION ALL SELECT 'aliases', 'note_path', alias_id, 'p' || note_path, recorded_at FROM aliases WHERE NOT {_blank("note_path")}
+  UNION ALL SELECT 'chunks', 'note_path', chunk_id, 'p' || note_path, indexed_at FROM chunks WHERE NOT {_blank("note_path")})
+SELECT src_table, ref_field, row_id,
+  CASE WHEN count(s) = 0 THEN 'missing' WHEN coalesce(bool_or(s > t), false) THEN 'late' ELSE 'deleted' END AS reason,
+  strftime(t, '%Y-%m') AS period_month
+FROM refs LEFT JOIN lives USING (k) WHERE k IS NOT NULL
+GROUP BY src_table, ref_field, row_id, t
+HAVING NOT coalesce(bool_or(s <= t AND (d IS NULL OR d > t)), false)
+"""
+
+ORACLE: dict[str, str] = {"p4_found": ORPHANS}

@@ -6,4 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from marginalia.operators.orphans import orphan_references, orphan_report
+from marginalia.operators.packed import packed_values
+
+
+def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+    return orphan_references(*(_read(spark, sf, t) for t in ("links", "aliases", "chunks", "note_catalog")))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_values(_read(spark, sf, "chunks"), "chunk_id", ("tags", "category"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _orphans(spark, sf).where("kind = 'direct'").select("src_table", "ref_field", "row_id", "reason", "period_month")
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    return orphan_report(_orphans(spark, sf))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_report)}
