@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,11 +27,13 @@ LEAST_WORDS = 25
 # Language codes that stand for no single language.
 NO_LANGUAGE = ("und", "mul", "mis", "zxx")
 
-_LINKED = re.compile(r"<a\b[^>]*>.*?</a>|!?\[\[[^\]\n]*\]\]|!?\[[^\]\n]*\]\([^)\s]*\)|https?://\S+|www\.\S+|(?<![\w#])#[^\W_][\w/-]*", re.S)
-_SEGMENT = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+|\n\s*\n|\n(?=\s*(?:[-*+•#>|]|\d+[.)]\s))|[•·|;]")
+_LINK = re.compile(r"<a\b[^>]*>.*?</a>|!?\[\[[^\]\n]*\]\]|!?\[[^\]\n]*\]\([^)\s]*\)|https?://\S+|www\.\S+", re.S)
+_LINK_SIGNS = ("](", "[[", "://", "www.", "<a ")
+_TAG = re.compile(r"#(?<![\w#]#)[^\W_][\w/-]*")
+_SEGMENT = re.compile(r"[.!?…。！？\n•·|;](?:(?<=[.!?…。！？])[\"'”’»)\]]*\s+|(?<=\n)(?:\s*\n|(?=\s*(?:[-*+•#>|]|\d+[.)]\s)))|(?<=[•·|;]))")
 
-PAGE = "lang string, n int, overlap double, linked int, keywords int, sentences int, curve array<struct<c:int,m:int>>"
-_PAGE_TYPES = [pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([("c", pa.int32()), ("m", pa.int32())]))]
+PAGE = "lang string, n int, overlap double, linked int, keywords int, sentences int, counts array<int>, times array<int>"
+_PAGE_TYPES = [pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
 
 def common_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -59,34 +62,40 @@ class _Pages:
             self.langs.setdefault(word, []).append(lang)
         self.total = {lang: sum(own.values()) for lang, own in self.of.items()}
 
-    def page(self, text: str) -> tuple:
-        own = words(text)
-        n = len(own)
-        counts = Counter(own)
+    def page(self, text: str) -> tuple | None:
+        spans: list[str] = []
+        cut = lambda m: spans.append(m[0]) or "\n\n"
+        rest = _LINK.sub(cut, text) if any(map(text.__contains__, _LINK_SIGNS)) else text
+        rest = _TAG.sub(cut, rest)
+        linked = words(" ".join(spans))
+        segments = [said for said in map(words, _SEGMENT.split(rest)) if said]
+        seen = Counter(chain.from_iterable(segments))
+        counts = seen + Counter(linked) if linked else seen
+        n = sum(counts.values())
+        if not n:
+            return None
+
         best: dict[str, float] = {}
-        for w, c in counts.items():
-            for lang in self.langs.get(w, ()):
-                best[lang] = best.get(lang, 0.0) + min(c / n, self.of[lang][w])
+        for w in counts.keys() & self.langs.keys():
+            for lang in self.langs[w]:
+                best[lang] = best.get(lang, 0.0) + min(counts[w] / n, self.of[lang][w])
         lang = max(best, key=lambda k: (best[k] / self.total[k], k), default="")
         overlap = best[lang] / self.total[lang] if lang else 0.0
         common = self.of.get(lang, {})
 
-        rest = _LINKED.sub("\n\n", text)
-        plain = words(rest) if len(rest) < len(text) else own
-        seen = counts if plain is own else Counter(plain)
-        keywords = sum(max(0.0, c - 2 * n * common.get(w, 0.0)) for w, c in seen.items() if c >= 3 and not w.isdigit())
-        heavy = {w for w, c in seen.items() if c >= 3 and c >= 0.015 * n and c > 3 * n * common.get(w, 0.0)}
+        often = [(w, c, n * common.get(w, 0.0)) for w, c in seen.items() if c >= 3]
+        keywords = sum(max(0.0, c - 2 * usual) for w, c, usual in often if not w.isdigit())
+        heavy = {w for w, c, usual in often if c >= 0.015 * n and c > 3 * usual}
+        is_common, is_heavy = common.__contains__, heavy.__contains__
         sentences = 0
-        for segment in _SEGMENT.split(rest):
-            said = words(segment)
-            if len(said) < 4:
+        for said in segments:
+            k = len(said)
+            if k < 4 or 6 * (known := sum(map(is_common, said))) < k or known < 2:
                 continue
-            grammar = {w for w in said if w in common}
-            stuffed = sum(w in heavy for w in said)
-            if len(grammar) >= 2 and 2 * stuffed < len(said) and 6 * sum(w in grammar for w in said) >= len(said):
-                sentences += len(said)
+            if len(set(filter(is_common, said))) >= 2 and not (heavy and 2 * sum(map(is_heavy, said)) >= k):
+                sentences += k
         curve = Counter(counts.values())
-        return lang, n, overlap, n - len(plain), int(keywords), sentences, [{"c": c, "m": m} for c, m in curve.items()]
+        return lang, n, overlap, len(linked), int(keywords), sentences, list(curve.keys()), list(curve.values())
 
 
 def _count_pages(batches: Iterator[pa.RecordBatch], common: list, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +106,7 @@ def _count_pages(batches: Iterator[pa.RecordBatch], common: list, names: list[st
             kept, rows = [], []
             for i, text in enumerate(part.column(1).to_pylist()):
                 row = pages.page(text) if text else None
-                if row and row[1]:
+                if row:
                     kept.append(i)
                     rows.append(row)
             cols = zip(*rows, strict=True) if rows else [[] for _ in _PAGE_TYPES]
@@ -106,7 +115,7 @@ def _count_pages(batches: Iterator[pa.RecordBatch], common: list, names: list[st
 
 def _curves(pages: DataFrame) -> DataFrame:
     """Slope and residual of ln(count) over ln(rank), a row per page; words of one count share their mean rank."""
-    steps = pages.select("row", F.inline("curve")).withColumn("last", F.sum("m").over(Window.partitionBy("row").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)))
+    steps = pages.select("row", F.inline(F.arrays_zip(F.col("counts").alias("c"), F.col("times").alias("m")))).withColumn("last", F.sum("m").over(Window.partitionBy("row").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)))
     points = steps.select("row", F.col("m").cast("double").alias("m"), F.log((F.col("last") - (F.col("m") - 1) / 2)).alias("x"), F.log(F.col("c").cast("double")).alias("y"))
     s = points.groupBy("row").agg(F.sum("m").alias("w"), F.sum(F.expr("m*x")).alias("sx"), F.sum(F.expr("m*y")).alias("sy"), F.sum(F.expr("m*x*x")).alias("sxx"), F.sum(F.expr("m*x*y")).alias("sxy"), F.sum(F.expr("m*y*y")).alias("syy"))
     s = s.withColumns({"vx": F.expr("sxx - sx*sx/w"), "vxy": F.expr("sxy - sx*sy/w"), "vy": F.expr("syy - sy*sy/w")})
@@ -128,11 +137,11 @@ def page_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common = [tuple(r) for r in common_words(known, "text", "lang").collect()]  # at most COMMON_WORDS / LANGUAGE_SHARE rows
     shared = spark.sparkContext.broadcast(common)
     kind = dict(docs.dtypes)[id_col]
-    names = ["id", "lang", "n", "overlap", "linked", "keywords", "sentences", "curve"]
+    names = ["id", "lang", "n", "overlap", "linked", "keywords", "sentences", "counts", "times"]
     counted = disk.table(known.select("id", "text").mapInArrow(lambda it: _count_pages(it, shared.value, names), f"id {kind}, {PAGE}"))
     pages = counted.withColumn("row", F.monotonically_increasing_id())
     numbered = disk.table(pages)
-    measured = numbered.drop("curve").join(_curves(numbered), "row").withColumn("length", F.floor(F.log2("n") * 2))
+    measured = numbered.drop("counts", "times").join(_curves(numbered), "row").withColumn("length", F.floor(F.log2("n") * 2))
 
     middle = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
     of = [F.count("*").alias("pages"), middle("slope").alias("s"), middle("residual").alias("r"), middle("overlap").alias("o")]
