@@ -50,13 +50,13 @@ def _knn(metric: str) -> str:
     return f"""
 WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round({d}, 9) AS x FROM r q JOIN r ON q.vec_id % 100 = 0)
-SELECT query_id, id, round(x, 6) AS distance, rank FROM (
+SELECT query_id, id, round(x, 6) + 0.0 AS distance, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank FROM d) WHERE rank <= 10"""
 
 
 _FOLD = "translate(lower(text), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy')"
 _TERMS = f"""
-tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array({_FOLD}, '[^\\p{{L}}\\p{{N}}]+'), t -> t <> '') AS ts FROM documents WHERE text IS NOT NULL),
+tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array({_FOLD}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS ts FROM documents WHERE text IS NOT NULL),
 inv AS (SELECT term, id, count(*) AS tf, any_value(n) AS length FROM (SELECT id, len(ts) AS n, unnest(ts) AS term FROM tok) GROUP BY term, id),
 asked AS (SELECT DISTINCT doc_id AS query_id, term FROM (SELECT doc_id, unnest(regexp_split_to_array({_FOLD.replace("text", "title")}, '[^\\p{{L}}\\p{{N}}]+')) AS term FROM documents WHERE doc_id % 100 = 0) WHERE term <> ''),
 stats AS (SELECT count(*) AS nd, avg(len(ts)) AS avgdl FROM tok WHERE len(ts) > 0),
@@ -68,7 +68,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 
 _INNER = "link_type IS DISTINCT FROM 'external'"
 _LIVING = f"living AS (SELECT path, max(struct_pack(m := mtime_ns, f := folder, e := extension, t := title, s := size)) AS r FROM note_catalog WHERE deleted_at IS NULL AND NOT {_blank('path')} GROUP BY path)"
-_TAGS = f"list_filter(list_transform(string_split(tags, ','), t -> {_strip('t')}), t -> t <> '')"
+_TAGS = f"list_filter(list_transform(string_split(tags, ','), lambda t: {_strip('t')}), lambda t: t <> '')"
 _EDGES = f"SELECT DISTINCT from_note_path AS source, to_note_path AS target FROM links WHERE {_INNER} AND is_resolved AND NOT {_blank('from_note_path')} AND NOT {_blank('to_note_path')}"
 
 
@@ -76,8 +76,8 @@ def _clusters(edges: str) -> str:
     return f"""
 WITH RECURSIVE e AS ({edges}),
 p AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM e WHERE source <> target),
-both AS (SELECT a AS u, b AS v FROM p UNION ALL SELECT b, a FROM p),
-reach AS (SELECT DISTINCT u AS root, u AS node FROM both UNION SELECT root, v FROM reach JOIN both ON node = u WHERE root <= v),
+ends AS (SELECT a AS u, b AS v FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT DISTINCT u AS root, u AS node FROM ends UNION SELECT root, v FROM reach JOIN ends ON node = u WHERE root <= v),
 label AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
 size AS (SELECT component, count(*) AS size FROM label GROUP BY component),
 inside AS (SELECT component, count(*) AS n_edges FROM p JOIN label ON node = a GROUP BY component)
@@ -122,8 +122,8 @@ WITH {_TERMS},
 r AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(1 - list_cosine_similarity(q.v, r.v), 9) AS x FROM r q JOIN r ON q.vec_id % 100 = 0),
 near AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank FROM d),
-both AS (SELECT query_id, id, rank FROM near WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM ranked WHERE rank <= 50),
-f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(rank) AS best_rank FROM both GROUP BY query_id, id)
+lists AS (SELECT query_id, id, rank FROM near WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM ranked WHERE rank <= 50),
+f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(rank) AS best_rank FROM lists GROUP BY query_id, id)
 SELECT query_id, id, round(score, 9) AS score, best_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, best_rank, id) AS rank FROM f) WHERE rank <= 10""",
     "highlighted": r"SELECT doc_id, regexp_replace(text, '(\(draft\)|sensor|panel)', '<mark>\1</mark>', 'gi') AS marked FROM documents",
     "wikilinks": rf"""
@@ -184,8 +184,8 @@ SELECT tag, count(*) AS notes, (SELECT count(DISTINCT tag) FROM p) AS total_tags
     "tag_counts_top": f"""
 WITH p AS (SELECT DISTINCT note_path, tag FROM (SELECT note_path, unnest({_TAGS}) AS tag FROM chunks WHERE folder = 'projects' OR starts_with(folder, 'projects/')))
 SELECT tag, count(*) AS notes, (SELECT count(DISTINCT tag) FROM p) AS total_tags, (SELECT count(DISTINCT note_path) FROM p) AS tagged_notes FROM p GROUP BY tag ORDER BY notes DESC, tag LIMIT 50""",
-    "notes_with_any_tag": f"SELECT note_path, min(chunk_id) AS chunk_id, arg_min(tags, chunk_id) AS tags FROM chunks WHERE list_has_any(list_transform({_TAGS}, t -> lower(t)), ['ops', 'todo']) GROUP BY note_path",
-    "notes_with_all_tags": f"SELECT note_path, min(chunk_id) AS chunk_id, arg_min(tags, chunk_id) AS tags FROM chunks WHERE list_has_all(list_transform({_TAGS}, t -> lower(t)), ['field notes', 'home-lab']) GROUP BY note_path",
+    "notes_with_any_tag": f"SELECT note_path, min(chunk_id) AS chunk_id, arg_min(tags, chunk_id) AS tags FROM chunks WHERE list_has_any(list_transform({_TAGS}, lambda t: lower(t)), ['ops', 'todo']) GROUP BY note_path",
+    "notes_with_all_tags": f"SELECT note_path, min(chunk_id) AS chunk_id, arg_min(tags, chunk_id) AS tags FROM chunks WHERE list_has_all(list_transform({_TAGS}, lambda t: lower(t)), ['field notes', 'home-lab']) GROUP BY note_path",
     "folder_counts": "SELECT split_part(coalesce(folder, ''), '/', 1) AS folder, count(DISTINCT path) AS notes FROM note_catalog WHERE deleted_at IS NULL GROUP BY 1",
     "folder_tree": """
 WITH n AS (SELECT DISTINCT path, array_to_string(string_split(folder, '/')[1:10], '/') AS f FROM note_catalog WHERE deleted_at IS NULL AND coalesce(folder, '') <> ''),

@@ -49,7 +49,7 @@ def _asked(embeddings: DataFrame) -> DataFrame:
 def _knn(metric: str) -> Callable[[DataFrame], DataFrame]:
     def run(e: DataFrame) -> DataFrame:
         found = nearest(e, _asked(e), "vec_id", "embedding", 10, metric)
-        return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+        return found.select("query_id", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
     return run
 
