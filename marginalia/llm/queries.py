@@ -62,6 +62,28 @@ def p8_measures(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p5_found, p6_ids, p7_found, p7_spans, p8_found, p8_measures)}
 
+
+_WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
+
+
+def _runs(table: str, key: str, n: int) -> str:
+    """Rows (key, run): every run of ``n`` words of a text."""
+    return f"""SELECT {key}, array_to_string(ws[pos:pos + {n - 1}], ' ') AS run FROM (
+      SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS pos FROM (SELECT {key}, {_WORDS.format("text")} AS ws FROM {table} WHERE text IS NOT NULL))"""
+
+
 ORACLE: dict[str, str] = {
     "p1_found": "SELECT chunk_id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 2000",
+    "p2_found": f"""
+WITH long AS (SELECT chunk_id, text FROM chunks WHERE len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) >= 30),
+runs AS (SELECT DISTINCT chunk_id, hash(run) AS run FROM ({_runs("long", "chunk_id", 3)})),
+sizes AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY chunk_id),
+shared AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE k >= 0.7 * (x.n + y.n - k)""",
+    "p5_found": """
+WITH RECURSIVE p AS (SELECT DISTINCT trim(source) AS a, trim(target) AS b FROM graph_edges WHERE trim(source) <> '' AND trim(target) <> ''),
+e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p),
+reach AS (SELECT DISTINCT u AS root, u AS node FROM e UNION SELECT root, v FROM reach JOIN e ON node = u WHERE root <= v)
+SELECT node AS note_path, min(root) AS group_path FROM reach GROUP BY node""",
+    "p7_found": f"WITH d AS ({_runs('documents', 'doc_id', 15)}), i AS ({_runs('eval_items', 'item_id', 15)}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
 }

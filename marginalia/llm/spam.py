@@ -22,7 +22,8 @@ from marginalia.functions.lineage import Scratch
 from marginalia.llm.words import words
 
 COMMON_WORDS = 80
-LANGUAGE_SHARE = 0.002
+COMMON_SHARE = 0.002
+LANGUAGE_SHARE, LANGUAGE_PAGES = 0.002, 30
 LEAST_WORDS = 25
 # Language codes that stand for no single language.
 NO_LANGUAGE = ("und", "mul", "mis", "zxx")
@@ -37,18 +38,19 @@ _PAGE_TYPES = [pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa
 
 
 def common_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """The ``COMMON_WORDS`` commonest words of each language as (lang, word, p).
+    """The words of each language that are at least ``COMMON_SHARE`` of its text, ``COMMON_WORDS`` at most, as (lang, word, p).
 
     Languages are the declared ones, cut to their first letters; those that hold under ``LANGUAGE_SHARE`` of all words
-    are left out, so there are at most 1 / ``LANGUAGE_SHARE`` of them.
+    are left out, so there are at most 1 / ``LANGUAGE_SHARE`` of them, and so are those of under ``LANGUAGE_PAGES`` pages.
     """
     lang = F.regexp_extract(F.lower(F.trim(F.col(lang_col))), "^([a-z]{2,3})(?![a-z])", 1)
+    spoken = docs.groupBy(lang.alias("lang")).agg(F.count("*").alias("pages")).where(F.col("pages") >= LANGUAGE_PAGES).select("lang")
     runs = docs.select(lang.alias("lang"), F.explode(F.split(F.lower(text_col), "[^\\p{L}\\p{N}]+")).alias("word"))
     counts = runs.where("lang <> '' AND word <> ''").where(~F.col("lang").isin(*NO_LANGUAGE)).groupBy("lang", "word").agg(F.count("*").alias("c"))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("t"))
-    shares = totals.crossJoin(F.broadcast(totals.agg(F.sum("t").alias("all")))).where(F.col("t") >= F.col("all") * LANGUAGE_SHARE).select("lang", "t")
+    shares = totals.crossJoin(F.broadcast(totals.agg(F.sum("t").alias("all")))).where(F.col("t") >= F.col("all") * LANGUAGE_SHARE).join(spoken, "lang", "left_semi").select("lang", "t")
     ranked = counts.join(F.broadcast(shares), "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "word")))
-    return ranked.where(F.col("r") <= COMMON_WORDS).select("lang", "word", (F.col("c") / F.col("t")).alias("p"))
+    return ranked.where((F.col("r") <= COMMON_WORDS) & (F.col("c") >= F.col("t") * COMMON_SHARE)).select("lang", "word", (F.col("c") / F.col("t")).alias("p"))
 
 
 class _Pages:

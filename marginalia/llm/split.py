@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_CHARS, OVERLAP, RANGE_BYTES = 2000, 200, 1 << 16
@@ -159,13 +159,12 @@ def _number(local: DataFrame, key: list[str]) -> DataFrame:
     return local.where(F.col("text").isNotNull()).join(table, [*key, "range_no"])
 
 
-def _finish(local: DataFrame, key: list[str], carry: list[str], ranged: Column) -> DataFrame:
-    """Most texts have one range and need no stitching; only those of several ranges are shuffled."""
-    one = local.where(~ranged & F.col("text").isNotNull())
-    one = one.withColumns({"_chars": F.lit(0).cast("long"), "_pieces": F.lit(0).cast("long")})
-    many = _number(local.where(ranged), key)
+def _finish(one: DataFrame, many: DataFrame, key: list[str], carry: list[str]) -> DataFrame:
+    """Pieces with global numbers: ``one`` has the pieces of texts of a single range, which need no stitching."""
+    single = one.where(F.col("text").isNotNull()).withColumns({"_chars": F.lit(0).cast("long"), "_pieces": F.lit(0).cast("long")})
+    several = _number(many, key)
     out = [*carry, (F.col("_pieces") + F.col("local_no")).cast("int").alias("piece_no"), (F.col("_chars") + F.col("char_start")).alias("char_start"), (F.col("_chars") + F.col("char_end")).alias("char_end"), "text"]
-    return one.select(*out).unionByName(many.select(*out))
+    return single.select(*out).unionByName(several.select(*out))
 
 
 def split_texts(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", carry: tuple[str, ...] = ("headers",), max_chars: int = MAX_CHARS, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -192,8 +191,12 @@ def split_texts(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "n_bytes long", PIECE])
     cols = [*keep, "n_bytes"]
-    local = raw.mapInArrow(lambda it: _in_ranges(it, max_chars, overlap, range_bytes, cols), schema)
-    return _finish(local, [id_col], keep, F.col("n_bytes") > range_bytes)
+
+    def pieces(part: DataFrame) -> DataFrame:
+        return part.mapInArrow(lambda it: _in_ranges(it, max_chars, overlap, range_bytes, cols), schema)
+
+    several = F.col("n_bytes") > range_bytes
+    return _finish(pieces(raw.where(~several)), pieces(raw.where(several)), [id_col], keep)
 
 
 def split_files(spark: SparkSession, root: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -205,12 +208,15 @@ def split_files(spark: SparkSession, root: str, max_chars: int = MAX_CHARS, over
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("n_bytes")).where("n_bytes > 0")
     ranges = files.withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / range_bytes))))
-    spread = ranges.repartition("path", "range_no")
+    spread = ranges.repartition("path", "range_no").select("path", "n_bytes", "range_no")
 
     def read(path: str, lo: int, n: int) -> bytes:
         with open(path, "rb") as f:
             f.seek(lo)
             return f.read(n)
 
-    local = spread.select("path", "n_bytes", "range_no").mapInArrow(lambda it: _in_ranges(it, max_chars, overlap, range_bytes, ["path", "n_bytes"], read), f"path string, n_bytes long, {PIECE}")
-    return _finish(local, ["path"], ["path"], F.col("n_bytes") > range_bytes)
+    def pieces(part: DataFrame) -> DataFrame:
+        return part.mapInArrow(lambda it: _in_ranges(it, max_chars, overlap, range_bytes, ["path", "n_bytes"], read), f"path string, n_bytes long, {PIECE}")
+
+    several = F.col("n_bytes") > range_bytes
+    return _finish(pieces(spread.where(~several)), pieces(spread.where(several)), ["path"], ["path"])
