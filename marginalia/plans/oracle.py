@@ -96,6 +96,7 @@ meet AS (
   SELECT to_note_path AS path, from_note_path, link_id, link_type, context FROM links WHERE to_note_path IN (SELECT path FROM paths)
   UNION SELECT path, from_note_path, link_id, link_type, context FROM links JOIN own ON link_target_normalized = name AND name <> ''),
 back AS (SELECT path, from_note_path, min(link_id) AS link_id, arg_min(link_type, link_id) AS link_type, arg_min(coalesce(context, chr(1)), link_id) AS c FROM meet WHERE from_note_path <> path GROUP BY path, from_note_path)"""
+_PAIR = r"\[([^\]]+)\]\(([^)]+)\)"
 _NO_BRACKET = r"\[\[[^\]]+\]\]"
 
 ORACLE: dict[str, str] = {
@@ -137,9 +138,40 @@ a AS (SELECT doc_id, trim(regexp_extract(raw, '\]\(([^)]+)\)$', 1)) AS url FROM
 b AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^(\[])(https?://[^\s)>\]"'']+)', 1)) AS url FROM documents)
 SELECT DISTINCT doc_id, url FROM (SELECT * FROM a WHERE regexp_matches(url, '^(https?://|mailto:|tel:|ftp://)') UNION ALL SELECT * FROM b)""",
     "embedded_files": rf"""
-WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '!{_NO_BRACKET}')) AS raw FROM documents),
-t AS (SELECT DISTINCT doc_id, {_strip("split_part(raw[4:-3], '|', 1)")} AS link_target FROM m)
-SELECT doc_id, link_target, {_normalized("link_target")} AS link_target_normalized FROM t WHERE link_target <> ''""",
+WITH m AS (SELECT link_id, unnest(regexp_extract_all(context, '!{_NO_BRACKET}')) AS raw FROM links),
+t AS (SELECT DISTINCT link_id, {_strip("split_part(raw[4:-3], '|', 1)")} AS link_target FROM m)
+SELECT link_id, link_target, {_normalized("link_target")} AS link_target_normalized FROM t WHERE link_target <> ''""",
+    "markdown_links": f"""
+WITH m AS (SELECT link_id, unnest(regexp_extract_all(context, '{_PAIR}')) AS raw FROM links),
+n AS (SELECT link_id, {_strip(f"regexp_extract(raw, '{_PAIR}', 2)")} AS href, regexp_extract(raw, '{_PAIR}', 1) AS alias FROM m),
+t AS (SELECT link_id, alias, {_strip("split_part(href, '#', 1)")} AS link_target FROM n WHERE NOT regexp_matches(href, '^(https?://|mailto:|tel:|ftp://)'))
+SELECT link_id, link_target, alias FROM t WHERE link_target <> ''""",
+    "link_parts": f"""
+WITH w AS (SELECT link_id, link_target AS i, split_part(link_target, '|', 1) AS a FROM links WHERE link_type = 'wikilink'),
+x AS (SELECT *, split_part(a, '^', 1) AS b FROM w), y AS (SELECT *, {_strip("split_part(b, '#', 1)")} AS t FROM x)
+SELECT link_id, CASE WHEN t <> '' THEN t ELSE i END AS target, nullif({_strip("i[length(a) + 2:]")}, '') AS alias, nullif({_strip("b[length(split_part(b, '#', 1)) + 2:]")}, '') AS heading, nullif({_strip("a[length(b) + 2:]")}, '') AS block_ref FROM y""",
+    "links_that_match_paths": r"""
+WITH w AS (SELECT link_id, lower(link_target) AS t, replace(lower(link_target), '-', ' ') AS s, lower(to_note_path) AS p, regexp_replace(lower(to_note_path), '\.[^./]+$', '') AS b FROM links WHERE to_note_path <> '')
+SELECT link_id, b = t OR suffix(b, '/' || t) OR p = t OR b = s OR suffix(b, '/' || s) AS matches FROM w""",
+    "note_labels": f"SELECT DISTINCT path, {_stem('path')} AS stem FROM note_catalog WHERE NOT {_blank('path')}",
+    "coalesced_changes": """
+WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g)
+SELECT user_id::VARCHAR AS path, arg_max(event_type = 'error', ts) AS deleted, max(ts) AS ts, count(*) AS n FROM b GROUP BY user_id, burst""",
+    "valid_frontmatter": f"""
+WITH e AS (SELECT chunk_id, CASE WHEN {_blank("status")} OR lower({_strip("status")}) NOT IN ('draft', 'review', 'published', 'archived') THEN 1 ELSE 0 END
+  + CASE WHEN NOT {_blank("id")} AND NOT regexp_matches(lower({_strip("id")}), '^[0-9a-f]{{8}}-([0-9a-f]{{4}}-){{3}}[0-9a-f]{{12}}$') THEN 1 ELSE 0 END
+  + CASE WHEN NOT {_blank("created_at")} AND try_cast({_strip("created_at")} AS TIMESTAMP) IS NULL THEN 1 ELSE 0 END
+  + CASE WHEN NOT {_blank("tags")} AND len(list_filter(list_transform(CASE WHEN json_valid(tags) AND tags LIKE '[%' THEN CAST(CAST(tags AS JSON) AS VARCHAR[]) ELSE string_split(tags, ',') END, lambda t: {_strip("t")}), lambda t: t <> '')) > 5 THEN 1 ELSE 0 END
+  + CASE WHEN NOT {_blank("description")} AND length(description) > 80 THEN 1 ELSE 0 END AS n FROM chunks)
+SELECT chunk_id, n = 0 AS valid, n AS n_errors FROM e""",
+    "coerced_numbers": """
+WITH e AS (SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events)
+SELECT event_id, CASE WHEN k BETWEEN 10 AND 90 THEN k END AS k, CASE WHEN k < 10 THEN 'below_minimum' WHEN k > 90 THEN 'above_maximum' END AS problem FROM e""",
+    "coerced_dates": f"""
+WITH e AS (SELECT chunk_id, created_at, {_strip("created_at")} AS s FROM chunks),
+d AS (SELECT *, CASE WHEN regexp_matches(s[1:10], '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN try_cast(s[1:10] AS DATE)::VARCHAR END AS day FROM e)
+SELECT chunk_id, day, CASE WHEN day IS NULL AND created_at IS NOT NULL THEN 'not_a_date' END AS problem, CASE WHEN day IS NOT NULL AND length(s) > 10 THEN 'truncated' END AS warning FROM d""",
     "normalized_targets": f"SELECT link_id, {_normalized('link_target')} AS normalized FROM links",
     "resolve_links": f"""
 WITH {_NAMES},

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import highlight as hl
 from marginalia.functions import links as ln
-from marginalia.functions.strings import normalize_target, present
+from marginalia.functions.coerce import FieldRule, coerce, issue_counts, validate
+from marginalia.functions.strings import is_blank, normalize_target, present, stem
 from marginalia.functions.vectors import mean_vectors, nearest
 from marginalia.operators import duplicates, fts, graph, navigate, notelinks, search, sync
 from marginalia.operators.orphans import orphan_references, orphan_report
 from marginalia.operators.packed import packed_values
+from marginalia.operators.passages import section_passages
+from marginalia.streaming.changes import allowed_attempts, coalesced
 
 NOW = datetime(2025, 1, 1, tzinfo=timezone.utc)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,9 +152,37 @@ def _(d):
     return ln.extract_links(d, "doc_id", context=False).where("link_type = 'external'").select("doc_id", F.col("link_target").alias("url"))
 
 
-@_over("embedded_files", "documents")
+@_over("embedded_files", "links")
+def _(k):
+    return ln.extract_links(k, "link_id", "context", context=False).where("link_type = 'embed'").select("link_id", "link_target", "link_target_normalized")
+
+
+@_over("markdown_links", "links")
+def _(k):
+    return ln.extract_links(k, "link_id", "context", context=False).where("link_type = 'markdown'").select("link_id", "link_target", "alias")
+
+
+@_over("link_parts", "links")
+def _(k):
+    return k.where("link_type = 'wikilink'").select("link_id", ln.wikilink_parts(F.col("link_target")).alias("p")).select("link_id", "p.target", "p.alias", "p.heading", "p.block_ref")
+
+
+@_over("links_that_match_paths", "links")
+def _(k):
+    return k.where("to_note_path <> ''").select("link_id", ln.matches_note(F.col("link_target"), F.col("to_note_path")).alias("matches"))
+
+
+# Sections and passages of whole documents.
+
+
+@_over("document_passages", "documents")
 def _(d):
-    return ln.extract_links(d, "doc_id", context=False).where("link_type = 'embed'").select("doc_id", "link_target", "link_target_normalized")
+    return section_passages(d, "doc_id")
+
+
+@_over("note_labels", "note_catalog")
+def _(n):
+    return n.where(~is_blank(F.col("path"))).select("path", stem(F.col("path")).alias("stem")).distinct()
 
 
 @_over("normalized_targets", "links")
@@ -222,6 +253,58 @@ def _(n):
 
 _over("latency_by_type", "events")(lambda e: navigate.latency_summary(e, "event_type", "value").select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95")))
 
+# Changes: events stand for writes, users for notes.
+
+
+@_over("coalesced_changes", "events")
+def _(e):
+    changes = e.select(F.col("user_id").cast("string").alias("path"), (F.col("event_type") == "error").alias("deleted"), "ts")
+    return coalesced(changes, 1800).select("path", "deleted", F.col("ts").cast("timestamp_ntz").alias("ts"), "n")
+
+
+@_over("refused_attempts", "events")
+def _(e):
+    tried = allowed_attempts(e.select(F.col("user_id").cast("string").alias("path"), "ts"), most=3, window_s=86_400.0)
+    return tried.groupBy("path").agg(F.count("*").alias("attempts"), F.count_if(~F.col("allowed")).alias("refused"))
+
+
+# Frontmatter: the metadata that passages carry, as a map of strings.
+
+RULES = {
+    "status": FieldRule("enum", on_missing="require", values=("draft", "review", "published", "archived")),
+    "id": FieldRule("uuid", on_missing="suggest"),
+    "created_at": FieldRule("datetime"),
+    "tags": FieldRule("list", max_items=5),
+    "description": FieldRule("string", max_length=80),
+}
+
+
+def _frontmatter(c: DataFrame) -> DataFrame:
+    given = F.map_filter(F.create_map(*(x for f in RULES for x in (F.lit(f), F.col(f)))), lambda k, v: v.isNotNull() & (F.trim(v) != ""))
+    return c.select("chunk_id", given.alias("frontmatter"))
+
+
+@_over("frontmatter_issues", "chunks")
+def _(c):
+    return issue_counts(validate(_frontmatter(c), RULES))
+
+
+@_over("valid_frontmatter", "chunks")
+def _(c):
+    return validate(_frontmatter(c), RULES).select("chunk_id", F.col("validation.valid").alias("valid"), F.size("validation.errors").alias("n_errors"))
+
+
+@_over("coerced_numbers", "events")
+def _(e):
+    value = F.get_json_object("props", "$.k")
+    return e.select("event_id", coerce(value, FieldRule("int", minimum=10, maximum=90)).alias("c")).select("event_id", F.col("c.value").cast("long").alias("k"), F.col("c.problem").alias("problem"))
+
+
+@_over("coerced_dates", "chunks")
+def _(c):
+    return c.select("chunk_id", coerce(F.col("created_at"), FieldRule("date")).alias("c")).select("chunk_id", F.col("c.value").alias("day"), F.col("c.problem").alias("problem"), F.col("c.warning").alias("warning"))
+
+
 # The graph.
 
 _over("graph_nodes", "links")(lambda k: graph.node_degrees(k).select("path", "outlinks", "backlinks"))
