@@ -86,6 +86,10 @@ class Notebook:
     def vector_index_status(self) -> dict:
         return ivf.index_status(self.table("chunks").count())
 
+    def prewarm(self) -> int:
+        """Keeps the passages in the executors' memory and disk; their number."""
+        return self.table("chunks").cache().count()
+
     # Search
 
     def _query(self, query: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset, a temporary folder of this machine (local mode)."""
     sc = spark.sparkContext
-    if (known := sc.getConf().get("spark.checkpoint.dir")) or (known := sc.getCheckpointDir()):
+    if known := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         return known
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
     return sc.getCheckpointDir()

@@ -41,3 +41,25 @@ def file_name(path: Column) -> Column:
 def stem(path: Column) -> Column:
     """The file name without its last extension; a name that only starts with a dot keeps it."""
     return F.regexp_replace(file_name(path), "(?s)(?<=.)\\.[^.]*$", "")
+
+
+def redact_paths(c: Column) -> Column:
+    """``c`` on one line, with file URIs, absolute, home and drive paths replaced by a mark."""
+    mark = "[REDACTED_PATH]"
+    out = F.regexp_replace(c, r"[\r\n]", " ")
+    quoted = r"(['\"])(?:file://|/|~[/\\]|[a-zA-Z]:\\)[^'\"]+\1"
+    bare = (r"(?i)file://\S+", r"(?i)(?<!\w)[a-z]:\\[^:,;)\]}]*", r"(?<!\w)~[/\\][^:,;)\]}]*", r"(?<![\w.])/(?:[^:/]+/)+[^:,;)\]}]*")
+    out = F.regexp_replace(out, quoted, f"$1{mark}$1")
+    for pattern in bare:
+        out = F.regexp_replace(out, pattern, mark)
+    return out
+
+
+def json_object_in(c: Column) -> Column:
+    """The first JSON object in free text, as text: all of it, else a fenced block, else from the first brace to the last; null
+    where none of them is one."""
+    text = strip(c)
+    span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    sound = lambda t: F.when(F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(t)), F.lit("OBJECT")), F.lit(False)), t)
+    return F.coalesce(sound(text), sound(fenced), sound(span))

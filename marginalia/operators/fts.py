@@ -16,9 +16,17 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
-def terms(text: Column) -> Column:
-    """The folded terms of a text in order: no stop-words, no stems."""
-    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def terms(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
+    """The folded terms of a text in order, without stems; ``stop_words`` (folded) fall away, by default none does."""
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & ~t.isin(*stop_words) if stop_words else t != "")
+
+
+def stop_words(language: str) -> tuple[str, ...]:
+    """The stop-words of a language as Spark has them ("english", "portuguese", ...), folded."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    table = str.maketrans(ACCENTED, PLAIN)
+    return tuple(sorted({w.lower().translate(table) for w in StopWordsRemover.loadDefaultStopWords(language)}))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -33,14 +41,14 @@ def term_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str = "text", top_k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str = "text", top_k: int = 10, k1: float = K1, b: float = B, without: tuple[str, ...] = ()) -> DataFrame:
     """The best ``top_k`` documents of every query as (query_id, id, score, rank); ties by id.
 
-    ``queries`` has (query_id, query). Query terms count once. Each term's weight is taken from the whole corpus. Only the
+    ``queries`` has (query_id, query). Query terms count once; words of ``without`` are terms of neither side. Each term's weight is taken from the whole corpus. Only the
     documents' occurrences of query terms leave the scan: the terms of all queries are joined before anything is counted.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("ts")).where(F.size("ts") > 0)
+    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query"), without))).alias("term"))
+    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms(F.col(text_col), without).alias("ts")).where(F.size("ts") > 0)
     stats = own.agg(F.count("*").alias("N"), F.avg(F.size("ts")).alias("avgdl"))
     spread = own.select("id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
     hits = spread.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))

@@ -11,7 +11,7 @@ from marginalia.errors import InvalidRequest, NotFound
 from marginalia.functions import links as ln
 from marginalia.functions.coerce import FieldRule, coerce, validate
 from marginalia.functions.passages import passages, sections
-from marginalia.functions.strings import normalize_target, stem
+from marginalia.functions.strings import json_object_in, normalize_target, redact_paths, stem
 from marginalia.sources.notefiles import NoteFiles, uuid7
 from marginalia.sources.notes import ingest, note_fields, split_frontmatter
 from marginalia.sources.store import Store, upsert
@@ -235,3 +235,13 @@ def test_settings(tmp_path):
     (tmp_path / "s.yaml").write_text("nonsense: 1\n")
     with pytest.raises(ValueError):
         Settings.from_file(str(tmp_path / "s.yaml"))
+
+
+def test_redaction_and_json_in_text(spark):
+    texts = ["see '/home/a b/c.md' now", "at /var/log/x.log: no", "C:\\a\\b.txt; ok", "~/n.md", "file:///x y", "and/or a.b/c", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(redact_paths(F.col("t"))).collect()]
+    m = "[REDACTED_PATH]"
+    assert got == [f"see '{m}' now", f"at {m}: no", f"{m}; ok", m, f"{m} y", "and/or a.b/c", None]
+    found = ['{"a":1}', 'x ```json\n{"a":1}\n``` y {', 'so {"a":{"b":1}} end', "[1]", "{no}", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in found], "t string").select(json_object_in(F.col("t"))).collect()]
+    assert got == ['{"a":1}', '{"a":1}', '{"a":{"b":1}}', None, None, None, None]

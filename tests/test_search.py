@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import highlight as hl
 from marginalia.functions.vectors import distance, mean_vectors, nearest, unit
-from marginalia.operators import duplicates, ivf, navigate, search
+from marginalia.operators import duplicates, fts, ivf, navigate, search
 
 VECTOR = "id long, g long, v array<float>"
 
@@ -99,3 +99,11 @@ def test_folders_and_tags(spark):
     assert df.where(navigate.in_folder("folder", "exam")).count() == 2
     assert [df.where(navigate.has_tags(t, m)).count() for t, m in ((["a"], False), (["a", "b"], True), (["c", "b"], False), (["z"], True))] == [1, 1, 2, 0]
     assert df.where(navigate.any_tag_contains(["b"])).count() == 2
+
+
+def test_bm25_prefers_rare_terms_and_drops_stop_words(spark):
+    docs = spark.createDataFrame([(1, "the cat"), (2, "the the the dog"), (3, "Thé CÃT cat"), (4, None), (5, "")], "id long, text string")
+    asked = spark.createDataFrame([(0, "the cat"), (1, "zebra"), (2, None)], "query_id long, query string")
+    got = [(r.query_id, r.id) for r in fts.bm25(docs, asked, "id").orderBy("query_id", "rank").collect()]
+    assert got == [(0, 3), (0, 1), (0, 2)]
+    assert [r.id for r in fts.bm25(docs, asked, "id", without=fts.stop_words("english")).orderBy("rank").collect()] == [3, 1]
