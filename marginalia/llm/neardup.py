@@ -151,6 +151,23 @@ def estimated_similarity(agree: Column, na: Column, nb: Column) -> Column:
     return (agree / F.lit(float(BUCKETS)) - chance) / (1 - chance)
 
 
+def _meetings(banded: DataFrame, threshold: float, disk: Scratch) -> DataFrame:
+    """Pairs (a, b, na, nb), a < b, that share a band's key (rep, n, key) and whose sizes allow the threshold.
+
+    Keys of one text, by far the most, fall away before anything else is done. Keys of many are cut into blocks of about ``CLASS_BLOCK`` texts, and each task joins
+    one block to another, so no key needs to fit into a task.
+    """
+    shared = banded.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
+    live = disk.table(banded.join(shared, "key")).withColumn("blocks", F.ceil(F.col("met") / CLASS_BLOCK).cast("int"))
+    placed = live.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    a = placed.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("rep").alias("x"), F.col("n").alias("nx"))
+    b = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("rep").alias("y"), F.col("n").alias("ny"))
+    close = (F.col("nx") >= F.col("ny") * threshold) & (F.col("ny") >= F.col("nx") * threshold)
+    met = a.join(b, ["key", "i", "j"]).where(close & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
+    first = F.col("x") < F.col("y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+
+
 class NearDuplicates:
     """Classes of rows with the same words, and the pairs of classes that are near-duplicates; see ``near_duplicates``."""
 
@@ -181,11 +198,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", threshol
     in_class = sketched.select("id", "same").join(several, "same").select("id", F.col("rep").alias("class_id"), "copies")
     reps = sketched.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
-    banded = reps.select(F.col("id").alias("rep"), "n", F.posexplode("bands").alias("band", "key"))
-    a = banded.select(F.col("rep").alias("a"), F.col("n").alias("na"), "band", "key")
-    b = banded.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "band", "key")
-    close = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    candidates = a.join(b, ["band", "key"]).where(close).select("a", "b", "na", "nb").distinct()
+    banded = reps.select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
+    candidates = _meetings(banded, threshold, disk).select("a", "b", "na", "nb").distinct()
 
     regs = reps.select(F.col("id").alias("rep"), "registers")
     with_a = candidates.join(regs.withColumnsRenamed({"rep": "a", "registers": "ra"}), "a")
