@@ -129,13 +129,13 @@ class Notebook:
         rows = self.table("chunks").where(navigate.in_folder("folder", folder))
         return self._timed("search_by_folder", lambda: self._answer(self._near(rows, q, search.candidate_count(k)), rows, q, k))
 
-    def search_advanced(self, query: str, top_k: int = 10, exclude: list[str] | None = None, highlight: str | None = None, now: datetime | None = None, **facets) -> DataFrame:
+    def search_advanced(self, query: str, top_k: int = 10, exclude: list[str] | None = None, highlight: tuple[str, str] | str | None = None, now: datetime | None = None, **facets) -> DataFrame:
         """Facets narrow the rows before ranking; excluded terms drop candidates after it, of which twice as many are taken."""
         q, k, terms = self._query(query), clamp(top_k, 1, 100), (exclude or [])[:MOST_TERMS]
         rows = self.table("chunks").where(navigate.facets(now=now, **facets))
         n = min(search.candidate_count(k) * (2 if terms else 1), search.MOST_CANDIDATES)
         out = self._timed("search_advanced", lambda: self._answer(self._near(rows, q, n), rows, q, k, terms))
-        return out.withColumn("text", hl.highlight(F.col("text"), q, highlight)) if highlight else out
+        return out.withColumn("text", hl.highlight(F.col("text"), q, *([highlight] if isinstance(highlight, str) else highlight))) if highlight else out
 
     def find_similar_notes(self, path: str, top_k: int = 5) -> DataFrame:
         k, rows = clamp(top_k, 1, 20), self.table("chunks").withColumn("note_id", F.xxhash64("note_path"))

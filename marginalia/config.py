@@ -6,7 +6,7 @@ from dataclasses import dataclass, fields
 
 # Note formats and folders that are never scanned.
 NOTE_EXTENSIONS = (".md", ".mdx", ".txt", ".pdf", ".canvas")
-IGNORED_FOLDERS = (".obsidian", ".trash", ".git", "node_modules", ".venv")
+IGNORED_FOLDERS = (".obsidian", ".smart-env", ".trash", ".git")
 
 
 @dataclass(frozen=True)

@@ -7,26 +7,26 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words too common to mark (English and Portuguese), and the markers that may be used.
+# Words too common to mark (English, then Portuguese), and the markers that may be used.
 STOP_WORDS = frozenset(
-    "the and for are but not you all any can had her was one our out has him his how its may new now old see two who did get let say she too use "
-    "that with have this will your from they know want been good much some time very when come here just like long make many more only over such take than them well were what "
-    "que com para por uma dos das nos nas não mais como mas foi ele ela seu sua ou quando muito já está eu também só pelo pela até isso entre era depois sem mesmo aos ter seus quem nas me esse eles você essa num nem suas meu às minha numa".split()
+    "the and for that this with from are was were been have has had but not you all can her his they will would could should "
+    "que para com uma por mais como mas foi ser tem seu sua ele ela isso este esta".split()
 )
-MARKERS = {"**": ("**", "**"), "==": ("==", "=="), "__": ("__", "__"), "<mark>": ("<mark>", "</mark>"), "<b>": ("<b>", "</b>"), "<em>": ("<em>", "</em>")}
+MARKERS = frozenset("** * __ _ == ~~ `` ` <mark> </mark> <em> </em> <strong> </strong> <b> </b> <i> </i> [[ ]] << >>".split())
+DEFAULT_MARKER = "**"
 LEAST_CHARS = 3
 
 
-def query_terms(query: str) -> list[str]:
-    """The words of a query worth marking: of three letters or more and no stop-words, each once."""
-    return list(dict.fromkeys(w for w in query.lower().split() if len(w) >= LEAST_CHARS and w not in STOP_WORDS))
+def query_terms(query: str | None) -> list[str]:
+    """The words of a query worth marking: of three letters or more and no stop-words."""
+    return [w for w in (query or "").split() if len(w) >= LEAST_CHARS and w.lower() not in STOP_WORDS]
 
 
-def highlight(text: Column, query: str, marker: str = "**") -> Column:
-    """``text`` with every occurrence of a query term between markers, whatever its case; an unknown marker becomes ``**``."""
-    words = sorted(query_terms(query), key=lambda w: (-len(w), w))
+def highlight(text: Column, query: str | None, start: str = DEFAULT_MARKER, end: str | None = None) -> Column:
+    """``text`` with every occurrence of a query term between markers, whatever its case; a marker that is not allowed becomes ``**``."""
+    words = sorted({w.lower() for w in query_terms(query)}, key=lambda w: (-len(w), w))
     if not words:
         return text
-    start, end = MARKERS.get(marker, MARKERS["**"])
+    before, after = (m if m in MARKERS else DEFAULT_MARKER for m in (start, start if end is None else end))
     pattern = "(?iu)(" + "|".join(re.escape(w) for w in words) + ")"
-    return F.regexp_replace(text, pattern, f"{start}$1{end}".replace("\\", "\\\\"))
+    return F.regexp_replace(text, pattern, f"{before}$1{after}")

@@ -130,7 +130,7 @@ def _(d):
 
 @_over("highlighted", "documents")
 def _(d):
-    return d.select("doc_id", hl.highlight(F.col("text"), "the Sensor panel (draft)", "<mark>").alias("marked"))
+    return d.select("doc_id", hl.highlight(F.col("text"), "the Sensor panel (draft)", "<mark>", "</mark>").alias("marked"))
 
 
 # Links inside texts.

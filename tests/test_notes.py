@@ -88,7 +88,7 @@ def tree(tmp_path):
     put("bad.canvas", "{nope")
     put("doc.pdf", "%PDF")
     put("empty.md", "---\n- x\n---\n")
-    for hidden in (".obsidian/c.md", "node_modules/d.md", ".e.md", "readme.rst"):
+    for hidden in (".obsidian/c.md", ".smart-env/d.md", ".e.md", "readme.rst"):
         put(hidden, "x")
     return tmp_path / "notes", put
 

@@ -81,9 +81,10 @@ def test_similar_pairs_recall_and_greedy_groups(spark):
 
 def test_highlight(spark):
     df = spark.createDataFrame([("The Sensor (panel) sensors",), (None,)], "t string")
+    assert df.select(hl.highlight(F.col("t"), "panel", "<script>", "</b>").alias("h")).first().h == "The Sensor (**panel</b>) sensors"
     got = [r.h for r in df.select(hl.highlight(F.col("t"), "the sensor (panel)", "==").alias("h")).collect()]
     assert got == ["The ==Sensor== ==(panel)== ==sensor==s", None]
-    assert hl.query_terms("The of Sensor sensor ab") == ["sensor"]
+    assert hl.query_terms("The of Sensor ab este") == ["Sensor"] and hl.query_terms(None) == []
 
 
 def test_facets_come_before_and_exclusions_after(spark, sf):
