@@ -23,19 +23,22 @@ def judged(refs: DataFrame, lives: DataFrame) -> DataFrame:
     hold over a thousandth of all rows are first thinned to their distinct times and cut by day, with the days before summed up, so
     that no key needs to fit into one task.
     """
+    disk = Scratch(refs.sparkSession, "judged")
     lasting = F.lit(FOREVER).cast("timestamp_ntz")
-    spans = lives.select("key", F.col("start").alias("ts"), F.coalesce("till", lasting).alias("till")).distinct()
-    keys = refs.select("key").unionAll(spans.select("key")).groupBy("key").agg(F.count("*").alias("n"))
+    refs = disk.table(refs.select("key", "ts", "ref"))
+    spans = disk.table(lives.select("key", F.col("start").alias("ts"), F.coalesce("till", lasting).alias("till")).distinct())
+    keys = disk.table(refs.select("key").unionAll(spans.select("key")).groupBy("key").agg(F.count("*").alias("n")))
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.broadcast(keys.where(is_hot(F.col("n"), total)).select("key", F.lit(True).alias("hot")))
+    few = disk.table(keys.where(is_hot(F.col("n"), total)).select("key", F.lit(True).alias("hot")))
+    disk.drop(keys)
+    if few.isEmpty():
+        return _in_order(refs, spans)
+
+    hot = F.broadcast(few)
     own, all_spans = refs.join(hot, "key", "left"), spans.join(hot, "key", "left")
+    out = _in_order(own.where("hot IS NULL"), all_spans.where("hot IS NULL"))
 
-    cool = _events(own.where("hot IS NULL"), all_spans.where("hot IS NULL"))
     by_key = Window.partitionBy("key")
-    so_far = by_key.orderBy(F.col("ts").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    cool = cool.withColumns({"latest": F.max("till").over(so_far), "last_start": F.max(F.when(F.col("kind") == 0, F.col("ts"))).over(by_key), "n_lives": F.count("till").over(by_key)})
-    out = cool.where("kind = 1").select("key", "ts", "ref", _reason())
-
     hot_refs = own.where("hot").drop("hot")
     days = _events(hot_refs.select("key", "ts", F.lit(None).cast(dict(refs.dtypes)["ref"]).alias("ref")).distinct(), all_spans.where("hot")).withColumn("day", F.date_trunc("day", "ts"))
     per_day = days.groupBy("key", "day").agg(F.max("till").alias("t"), F.max(F.when(F.col("kind") == 0, F.col("ts"))).alias("s"), F.count("till").alias("c"))
@@ -52,6 +55,15 @@ def judged(refs: DataFrame, lives: DataFrame) -> DataFrame:
     return out.unionByName(met.select("probe.key", "probe.ts", "ref", "reason"))
 
 
+def _in_order(refs: DataFrame, lives: DataFrame) -> DataFrame:
+    """The references of keys that fit into a task."""
+    by_key = Window.partitionBy("key")
+    so_far = by_key.orderBy(F.col("ts").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    events = _events(refs, lives)
+    seen = events.withColumns({"latest": F.max("till").over(so_far), "last_start": F.max(F.when(F.col("kind") == 0, F.col("ts"))).over(by_key), "n_lives": F.count("till").over(by_key)})
+    return seen.where("kind = 1").select("key", "ts", "ref", _reason())
+
+
 def _events(refs: DataFrame, lives: DataFrame) -> DataFrame:
     kind = dict(refs.dtypes)["ref"]
     marks = lives.select("key", "ts", F.lit(0).alias("kind"), "till", F.lit(None).cast(kind).alias("ref"))

@@ -52,7 +52,7 @@ def test_reasons(spark):
 def random_case(seed):
     rng = random.Random(seed)
     lives = [(f"n{rng.randrange(6)}", DAY(a := rng.randrange(0, 40)), DAY(a + rng.randrange(1, 9)) if rng.random() < 0.8 else None) for _ in range(25)]
-    refs = [(i, f"n{rng.randrange(8)}", DAY(rng.randrange(0, 50))) for i in range(300)]
+    refs = [(i, f"n{rng.randrange(8)}", DAY(rng.randrange(0, 50)) if i % 20 else None) for i in range(300)]
     return lives, refs
 
 
@@ -60,8 +60,8 @@ def brute(lives, refs):
     out = {}
     for i, p, t in refs:
         own = [(a, b) for q, a, b in lives if q == p]
-        if not any(a <= t and (b is None or b > t) for a, b in own):
-            out[i] = "missing" if not own else "late" if any(a > t for a, _ in own) else "deleted"
+        if t is None or not any(a <= t and (b is None or b > t) for a, b in own):
+            out[i] = "missing" if not own else "late" if t and any(a > t for a, _ in own) else "deleted"
     return out
 
 
