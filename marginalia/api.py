@@ -157,7 +157,7 @@ class Notebook:
         ids = Scratch(self.spark, "notes").table(ids)
         means = mean_vectors(rows.join(ids, "note_path"), "note_id", "vector")
         pairs = duplicates.similar_pairs(means, "note_id", "mean", min(0.99, max(0.5, threshold)))
-        groups = duplicates.greedy_groups(pairs)
+        groups = duplicates.with_copies(duplicates.greedy_groups(pairs), duplicates.vector_classes(means, "note_id", "mean"))
         name = lambda c: ids.select(F.col("note_id").alias(c), F.col("note_path").alias(f"{c}_path"))
         return groups.join(name("seed"), "seed").join(name("member"), "member").select("seed_path", "member_path", "similarity")
 

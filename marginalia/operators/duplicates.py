@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.lineage import Scratch
 from marginalia.functions.vectors import dot, norm
+from marginalia.operators.skew import join_unique
 
 SEED = 20_240_101
 MOST_BANDS = 512
@@ -46,15 +47,27 @@ def _signs(batches: Iterator[pa.RecordBatch], bands: int, bits: int) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().astype(np.int64)))], names=["id", "bands"])
 
 
+def _usable(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
+    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    return own.where(F.col("v").isNotNull()).where(norm(F.col("v")) > 0)
+
+
+def vector_classes(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, class_id) of every row with a usable vector: rows with equal vectors share a class, named by its least id."""
+    own = _usable(rows, id_col, vector)
+    heads = own.groupBy("v").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_unique(own, heads.select("v", "class_id"), "v", heads.select("v", "n"), total).select("id", "class_id")
+
+
 def similar_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float = 0.9, recall: float = 0.99) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of classes of equal vectors whose cosine is at least ``threshold``.
 
     What is returned is exact; of the pairs at the threshold a share of ``recall`` is found, of closer ones more. A class is
-    named by its least id. Null and zero vectors are in no pair.
+    named by its least id; ``vector_classes`` has its other members. Null and zero vectors are in no pair.
     """
     disk = Scratch(rows.sparkSession, "similar")
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull()).where(norm(F.col("v")) > 0)
-    heads = disk.table(own.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    heads = disk.table(_usable(rows, id_col, vector).groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
     bits = bits_for(threshold)
     bands = bands_for(threshold, recall, bits)
     keyed = heads.mapInArrow(lambda it: _signs(it, bands, bits), "id long, bands array<long>").select("id", F.posexplode("bands").alias("band", "key"))
@@ -90,6 +103,14 @@ def greedy_groups(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return groups if groups is not None else pairs.select(F.col("a").alias("seed"), F.col("b").alias("member"), "similarity")
 
 
+def with_copies(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """``groups`` of classes as groups of rows: copies of a member join its seed, copies of any other row form or join its own group."""
+    copies = classes.where("id <> class_id")
+    in_group = copies.join(groups.select(F.col("member").alias("class_id"), "seed", "similarity"), "class_id").select("seed", F.col("id").alias("member"), "similarity")
+    own = copies.join(groups.select(F.col("member").alias("class_id")), "class_id", "left_anti").select(F.col("class_id").alias("seed"), F.col("id").alias("member"), F.lit(1.0).alias("similarity"))
+    return groups.select("seed", "member", "similarity").unionByName(in_group).unionByName(own)
+
+
 def group_summary(groups: DataFrame) -> DataFrame:
     """(seed, size, avg_similarity): members with the seed, and their mean similarity to it."""
     return groups.groupBy("seed").agg((F.count("*") + 1).alias("size"), F.avg("similarity").alias("avg_similarity"))

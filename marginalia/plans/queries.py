@@ -81,7 +81,8 @@ def _(e):
 @_over("duplicate_note_groups", "embeddings")
 def _(e):
     pairs = duplicates.similar_pairs(e, "vec_id", "embedding", 0.4)
-    return duplicates.group_summary(duplicates.greedy_groups(pairs))
+    groups = duplicates.with_copies(duplicates.greedy_groups(pairs), duplicates.vector_classes(e, "vec_id", "embedding"))
+    return duplicates.group_summary(groups)
 
 
 @_over("duplicate_note_links", "embeddings")

@@ -192,7 +192,7 @@ def test_validation(spark):
     got = {r.i: r.validation for r in validate(df, rules, allow_extra=False).collect()}
     codes = lambda issues: sorted((x.field, x.code) for x in issues)
     assert codes(got[1].errors) == [("extra", "extra_field_not_allowed"), ("status", "validation_error")] and codes(got[1].warnings) == [("kind", "alias_resolved")]
-    assert got[2].valid is False and codes(got[2].errors) == [("type", "extra_field_not_allowed")] or got[2].valid
+    assert got[2].valid
     assert got[2].data["kind"] == "a" and ("kind", "alias_conflict") in codes(got[2].warnings)
     assert codes(got[3].errors) == [("status", "required_missing")] and got[3].data["kind"] == "note" and "when" in got[3].generated
     lax = {r.i: r.validation for r in validate(df, rules, mode="warn_only").collect()}

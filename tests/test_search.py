@@ -77,6 +77,10 @@ def test_similar_pairs_recall_and_greedy_groups(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.8), (1, 5, 0.7), (4, 5, 0.9)], "a long, b long, similarity double")
     groups = sorted(tuple(r) for r in duplicates.greedy_groups(pairs).collect())
     assert groups == [(1, 2, 0.9), (1, 5, 0.7), (3, 4, 0.8)]
+    classes = duplicates.vector_classes(df, "id", "v")
+    assert {(r.id, r.class_id) for r in classes.where("id <> class_id").collect()} == {(120 + i, i) for i in range(5)} and classes.count() == 125
+    some = spark.createDataFrame([(0, 1, 0.95)], "seed long, member long, similarity double")
+    assert sorted(tuple(r) for r in duplicates.with_copies(some, classes).collect()) == [(0, 1, 0.95), (0, 120, 1.0), (0, 121, 0.95), (2, 122, 1.0), (3, 123, 1.0), (4, 124, 1.0)]
 
 
 def test_highlight(spark):
