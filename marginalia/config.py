@@ -18,7 +18,6 @@ class Settings:
     chunk_chars: int = 2000
     overlap_chars: int = 200
     header_levels: int = 4
-    most_passages: int = 1000
     separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")
     debounce_s: float = 2.0
     breaker_attempts: int = 3

@@ -187,9 +187,13 @@ def daily_note(catalog: DataFrame, date: str, folder: str = "daily") -> DataFram
 
 
 def capped_passages(chunks: DataFrame, cap: int = 1000) -> DataFrame:
-    """The first ``cap`` passages of each note in reading order; repeated numbers by chunk_id."""
+    """The first ``cap`` passages of each note in reading order; repeated numbers by chunk_id.
+
+    A view for those who ask for it: no table is cut by it. Passages without a note path belong to no common note, and each is kept.
+    """
     order = Window.partitionBy("note_path").orderBy("chunk_no", "chunk_id")
-    return chunks.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+    of_notes = chunks.where("note_path IS NOT NULL").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+    return of_notes.unionByName(chunks.where("note_path IS NULL"))
 
 
 def latency_summary(events: DataFrame, by: str, value: str) -> DataFrame:

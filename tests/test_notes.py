@@ -12,6 +12,7 @@ from marginalia.functions import links as ln
 from marginalia.functions.coerce import FieldRule, coerce, validate
 from marginalia.functions.passages import passages, sections
 from marginalia.functions.strings import json_object_in, normalize_target, redact_paths, stem
+from marginalia.operators.navigate import capped_passages
 from marginalia.sources.notefiles import NoteFiles, uuid7
 from marginalia.sources.notes import ingest, note_fields, split_frontmatter
 from marginalia.sources.store import Store, upsert
@@ -134,6 +135,18 @@ def test_ingest_store_and_stream(spark, tree, tmp_path):
     assert store.load()["chunks"].where("note_path = 'a.canvas'").count() == 3
 
 
+def test_ingest_writes_every_passage(spark, tmp_path):
+    (tmp_path / "log.md").write_text("\n\n".join(f"entry {i} {'x' * 40}" for i in range(1300)))
+    chunks = ingest(spark, str(tmp_path), Settings(chunk_chars=60, overlap_chars=0)).chunks
+    assert chunks.count() == 1300 and chunks.where("startswith(text, 'entry 1299 ')").count() == 1
+
+
+def test_capped_passages_keep_rows_without_a_note(spark):
+    rows = [(i, "a.md", 9 - i) for i in range(5)] + [(10 + i, None, i) for i in range(5)]
+    got = capped_passages(spark.createDataFrame(rows, "chunk_id long, note_path string, chunk_no int"), 2).collect()
+    assert sorted(r.chunk_id for r in got) == [3, 4, 10, 11, 12, 13, 14]
+
+
 def test_upsert(spark):
     a = spark.createDataFrame([("x", 1, 1), ("y", 1, 1)], "path string, mtime_ns long, size long")
     b = spark.createDataFrame([("x", 2, 5), ("x", 3, 6), ("z", 1, 1)], "path string, mtime_ns long, size long")
