@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.lineage import Scratch
@@ -47,9 +47,13 @@ def _signs(batches: Iterator[pa.RecordBatch], bands: int, bits: int) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().astype(np.int64)))], names=["id", "bands"])
 
 
+def _is_usable(v: Column) -> Column:
+    return F.coalesce(v.isNotNull() & (norm(v) > 0), F.lit(False))
+
+
 def _usable(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    return own.where(F.col("v").isNotNull()).where(norm(F.col("v")) > 0)
+    return own.where(_is_usable(F.col("v")))
 
 
 def vector_classes(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -103,6 +107,20 @@ def greedy_groups(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return groups if groups is not None else pairs.select(F.col("a").alias("seed"), F.col("b").alias("member"), "similarity")
 
 
+def linked_classes(rows: DataFrame, id_col: str, vector: str, pairs: DataFrame) -> DataFrame:
+    """(id, class_id, n_links) of every row: its class of equal vectors and the number of other classes that ``pairs`` link to it.
+
+    Rows without a usable vector have no class and no link.
+    """
+    classes = Scratch(rows.sparkSession, "linked").table(vector_classes(rows, id_col, vector))
+    sizes = classes.groupBy("class_id").agg(F.count("*").alias("n"))
+    total = classes.count()
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    counted = join_unique(classes, links, "class_id", sizes, total, "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    others = rows.where(~_is_usable(F.col(vector))).select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return counted.unionByName(others)
+
+
 def with_copies(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """``groups`` of classes as groups of rows: copies of a member join its seed, copies of any other row form or join its own group."""
     copies = classes.where("id <> class_id")

@@ -88,8 +88,7 @@ def _(e):
 @_over("duplicate_note_links", "embeddings")
 def _(e):
     pairs = duplicates.similar_pairs(e, "vec_id", "embedding", 0.4)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("n_links"))
-    return e.select("vec_id").join(ends, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return duplicates.linked_classes(e, "vec_id", "embedding", pairs).withColumnRenamed("id", "vec_id")
 
 
 # Full text: titles of every hundredth document are the queries.

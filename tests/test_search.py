@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import highlight as hl
 from marginalia.functions.vectors import distance, mean_vectors, nearest, unit
 from marginalia.operators import duplicates, fts, ivf, navigate, search
+from marginalia.plans.queries import QUERIES
 
 VECTOR = "id long, g long, v array<float>"
 
@@ -83,6 +84,14 @@ def test_similar_pairs_recall_and_greedy_groups(spark):
     assert sorted(tuple(r) for r in duplicates.with_copies(some, classes).collect()) == [(0, 1, 0.95), (0, 120, 1.0), (0, 121, 0.95), (2, 122, 1.0), (3, 123, 1.0), (4, 124, 1.0)]
 
 
+def test_copies_have_the_links_of_their_class(spark, tmp_path):
+    near, far = [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(0, near), (1, [1.0, 0.0, 0.0]), (2, near), (3, near), (4, far), (5, far), (6, None), (7, [0.0] * 3)]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.class_id, r.n_links) for r in QUERIES["duplicate_note_links"](spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 1), 1: (1, 1), 2: (0, 1), 3: (0, 1), 4: (4, 0), 5: (4, 0), 6: (None, 0), 7: (None, 0)}
+
+
 def test_highlight(spark):
     df = spark.createDataFrame([("The Sensor (panel) sensors",), (None,)], "t string")
     assert df.select(hl.highlight(F.col("t"), "panel", "<script>", "</b>").alias("h")).first().h == "The Sensor (**panel</b>) sensors"
