@@ -1,7 +1,8 @@
 """Near-duplicate notes by the cosine of their vectors.
 
-Pairs come from banded random hyperplanes: vectors that agree in all signs of a band meet and are compared exactly. Bands are
-wide for high thresholds; their number follows from the recall asked for. Vectors that are equal are one class.
+Vectors that are equal are one class. All classes are compared, block against block. ``likely_pairs`` is an approximate option: banded
+random hyperplanes, where vectors that agree in all signs of a band meet and are compared exactly. Bands are wide for high thresholds;
+their number follows from the recall asked for.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from marginalia.operators.skew import join_unique
 
 SEED = 20_240_101
 MOST_BANDS = 512
+# Of the exact search: vectors in a block at most, and below which more blocks are not worth it; rows of a product at a time.
+BLOCK, LEAST_BLOCK, STRIP = 4096, 256, 256
+BLOCK_BYTES, PAIR_BYTES = 32 << 20, 16 << 20
+MOST_TASKS = 5000
 
 
 def bands_for(threshold: float, recall: float, bits: int) -> int:
@@ -64,14 +69,81 @@ def vector_classes(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
     return join_unique(own, heads.select("v", "class_id"), "v", heads.select("v", "n"), total).select("id", "class_id")
 
 
-def similar_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float = 0.9, recall: float = 0.99) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of classes of equal vectors whose cosine is at least ``threshold``.
+def _heads(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, v): one row per class of equal vectors, with its least id."""
+    return _usable(rows, id_col, vector).groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
 
-    What is returned is exact; of the pairs at the threshold a share of ``recall`` is found, of closer ones more. A class is
-    named by its least id; ``vector_classes`` has its other members. Null and zero vectors are in no pair.
+
+def _read_block(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sides, ids, vectors and lengths of a group's rows."""
+    sides = np.concatenate([b.column("side").to_numpy(zero_copy_only=False) for b in batches])
+    ids = np.concatenate([b.column("id").to_numpy() for b in batches])
+    x = np.concatenate([b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) for b in batches])
+    return sides, ids, x, np.sqrt((x * x).sum(axis=1))
+
+
+def _close(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The pairs between two blocks, or within one if there is no second side.
+
+    A matrix product, strip by strip, rules out what lies clearly below the threshold; the rest is computed pair by pair, so that
+    a similarity does not depend on how the vectors are blocked.
+    """
+    some = [b for b in batches if b.num_rows]
+    if not some:
+        return
+    sides, ids, x, length = _read_block(some)
+    unit = x / length[:, None]
+    left = np.flatnonzero(sides == 0)
+    right = np.flatnonzero(sides == 1) if (sides == 1).any() else left
+    own = right is left
+    step = max(1, PAIR_BYTES // (8 * x.shape[1]))
+    for at in range(0, len(left), STRIP):
+        strip = left[at : at + STRIP]
+        p, q = np.nonzero(unit[strip] @ unit[right].T >= threshold - 1e-9)
+        p, q = strip[p], right[q]
+        if own:
+            p, q = p[(once := ids[p] < ids[q])], q[once]
+        for k in range(0, len(p), step):
+            i, j = p[k : k + step], q[k : k + step]
+            cosine = (x[i] * x[j]).sum(axis=1) / (length[i] * length[j])
+            keep = cosine >= threshold
+            a, b = ids[i[keep]], ids[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine[keep])], names=["a", "b", "similarity"])
+
+
+def similar_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float = 0.9) -> DataFrame:
+    """All pairs (a, b, similarity), a < b, of classes of equal vectors whose cosine is at least ``threshold``.
+
+    Every class is compared to every other: blocks of at most ``BLOCK`` vectors and ``BLOCK_BYTES`` meet in pairs, a group each, so
+    no task holds more than two blocks, and only pairs that count leave it. A class is named by its least id;
+    ``vector_classes`` has its other members. Null and zero vectors are in no pair.
+    """
+    spark = rows.sparkSession
+    heads = Scratch(spark, "similar").table(_heads(rows, id_col, vector))
+    n, width = heads.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, width or 1))))
+    busy = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
+    blocks = max(1, math.ceil(n / most), min(busy, math.ceil(n / LEAST_BLOCK)))
+    placed = heads.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # The row's block is the first side of the meetings with itself and later blocks, the second side of those with earlier ones.
+    other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = other.select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("o") < F.col("block")).cast("int").alias("side"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _close(batches, threshold)
+
+    tasks = min(blocks * (blocks + 1) // 2, MOST_TASKS)
+    return met.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(run, "a long, b long, similarity double")
+
+
+def likely_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float = 0.9, recall: float = 0.99) -> DataFrame:
+    """An approximation of ``similar_pairs`` for high thresholds over many vectors: it loses pairs.
+
+    What is returned is exact; of the pairs at the threshold a share of ``recall`` is found by design, of closer ones more, and
+    less where ``MOST_BANDS`` does not suffice. Vectors that share a band's key meet in one join without blocks.
     """
-    disk = Scratch(rows.sparkSession, "similar")
-    heads = disk.table(_usable(rows, id_col, vector).groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    disk = Scratch(rows.sparkSession, "likely")
+    heads = disk.table(_heads(rows, id_col, vector))
     bits = bits_for(threshold)
     bands = bands_for(threshold, recall, bits)
     keyed = heads.mapInArrow(lambda it: _signs(it, bands, bits), "id long, bands array<long>").select("id", F.posexplode("bands").alias("band", "key"))

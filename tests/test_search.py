@@ -84,6 +84,24 @@ def test_similar_pairs_recall_and_greedy_groups(spark):
     assert sorted(tuple(r) for r in duplicates.with_copies(some, classes).collect()) == [(0, 1, 0.95), (0, 120, 1.0), (0, 121, 0.95), (2, 122, 1.0), (3, 123, 1.0), (4, 124, 1.0)]
 
 
+@pytest.mark.parametrize("block", [4096, 30])
+def test_similar_pairs_loses_none(spark, monkeypatch, block):
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.standard_normal((150, 16)), 1 + 0.5 * rng.standard_normal((150, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(7 * i % 300, 0, v.tolist()) for i, v in enumerate(x)] + [(900, 0, x[0].tolist()), (901, 0, None), (902, 0, [0.0] * 16)], VECTOR)
+    u = np.empty((300, 16))
+    u[7 * np.arange(300) % 300] = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for threshold in (0.4, -0.2):
+        found = duplicates.similar_pairs(df, "id", "v", threshold).collect()
+        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= threshold}
+        assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
+        assert all(abs(r.similarity - u[r.a] @ u[r.b]) < 1e-9 for r in found)
+    assert duplicates.similar_pairs(df.where("id < 0"), "id", "v").count() == 0
+    some = {(r.a, r.b) for r in duplicates.likely_pairs(df, "id", "v", 0.4).collect()}
+    assert some <= {(i, j) for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= 0.4 - 1e-9} and some
+
+
 def test_copies_have_the_links_of_their_class(spark, tmp_path):
     near, far = [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
     rows = [(0, near), (1, [1.0, 0.0, 0.0]), (2, near), (3, near), (4, far), (5, far), (6, None), (7, [0.0] * 3)]
