@@ -48,7 +48,7 @@ def mean_vectors(rows: DataFrame, by: str, vector: str) -> DataFrame:
     return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("mean"))
 
 
-def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         qn, xn = np.linalg.norm(q, axis=1, keepdims=True), np.linalg.norm(x, axis=1, keepdims=True)
         return 1 - (q / np.where(qn > 0, qn, 1)) @ (x / np.where(xn > 0, xn, 1)).T
@@ -96,7 +96,7 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, top_k
                     continue
                 own = batch.column(0).to_numpy()
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                d = np.round(_distances(q, x, metric), 9)
+                d = np.round(distances(q, x, metric), 9)
                 if skip:
                     d[q_ids[:, None] == batch.column(2).fill_null(-(1 << 62)).to_numpy()[None, :]] = np.inf
                 k = min(top_k, len(own))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.vectors import mean_vectors, nearest, score
+from marginalia.functions.vectors import distances, mean_vectors, query_blocks, score
 
 RRF_K = 60
 CANDIDATES, MOST_CANDIDATES, MULTIPLIER = 50, 500, 2
 RERANK_LEAST = 10
+QUERY_STRIP = 256
 
 
 def candidate_count(top_k: int) -> int:
@@ -53,18 +56,57 @@ def rerank(ranked: DataFrame, top_k: int, scorer: Callable[[Column, Column], Col
     return pool.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top_k)
 
 
+def nearest_groups(rows: DataFrame, queries: DataFrame, by: str, vector: str, top_k: int) -> DataFrame:
+    """The ``top_k`` groups nearest to every query (query_id, vector) other than the query's own, as (query_id, other, distance, rank).
+
+    A group is as far as its nearest row, ties go by group. A task keeps the least distance per query and group of a batch, and of
+    those the first ``top_k`` groups. That loses none: a group that ranks first overall ranks so in the batch of its nearest row, as
+    whatever is ahead of it there is ahead of it overall. Rows without a group or vector are left out.
+    """
+    sc = rows.sparkSession.sparkContext
+    table = rows.select(F.col(by).cast("long").alias("g"), F.col(vector).alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
+    found = None
+    for ids, vectors in query_blocks(queries):
+        shared = sc.broadcast((ids, vectors))
+
+        def least(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q_ids, q = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                own = batch.column(0).to_numpy()
+                order = np.argsort(own, kind="stable")
+                groups, starts = np.unique(own[order], return_index=True)
+                x = x[order]
+                for at in range(0, len(q), QUERY_STRIP):
+                    strip = q_ids[at : at + QUERY_STRIP]
+                    d = np.round(distances(q[at : at + QUERY_STRIP], x, "cosine"), 9)
+                    best = np.minimum.reduceat(np.where(np.isfinite(d), d, np.inf), starts, axis=1)
+                    best[strip[:, None] == groups[None, :]] = np.inf
+                    k = min(top_k, len(groups))
+                    first = np.argsort(best, axis=1, kind="stable")[:, :k]
+                    flat = np.take_along_axis(best, first, 1).ravel()
+                    keep = np.isfinite(flat)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(strip, k)[keep]), pa.array(groups[first].ravel()[keep]), pa.array(flat[keep])], names=["query_id", "other", "distance"])
+
+        part = table.mapInArrow(least, "query_id long, other long, distance double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, other long, distance double, rank int")
+    nearest_rows = found.groupBy("query_id", "other").agg(F.min("distance").alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "other")
+    return nearest_rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
 def similar_groups(rows: DataFrame, groups: DataFrame, by: str, id_col: str, vector: str, top_k: int = 5) -> DataFrame:
     """Groups (notes) nearest to each group of ``groups`` (one column ``by``), as (query_id, other, distance, rank).
 
-    A group is represented by its mean vector; the 3 * ``top_k`` nearest rows outside it are candidates, and another group is as far
-    as its nearest candidate. ``by`` must be a number.
+    A group is represented by its mean vector; another group is as far as its nearest row. All rows of all groups count, however many
+    one group has. ``by`` must be a number.
     """
     means = mean_vectors(rows.join(F.broadcast(groups.select(by)), by, "left_semi"), by, vector).select(F.col(by).cast("long").alias("query_id"), F.col("mean").alias("vector"))
-    near = nearest(rows, means, id_col, vector, top_k=3 * top_k, skip=by)
-    pool = near.join(rows.select(F.col(id_col).cast("long").alias("id"), F.col(by).cast("long").alias("other")), "id")
-    best = pool.groupBy("query_id", "other").agg(F.min("distance").alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "other")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return nearest_groups(rows, means, by, vector, top_k)
 
 
 def formatted(results: DataFrame, distance: str = "distance", reranked: str | None = None) -> DataFrame:

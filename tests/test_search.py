@@ -102,6 +102,20 @@ def test_similar_pairs_loses_none(spark, monkeypatch, block):
     assert some <= {(i, j) for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= 0.4 - 1e-9} and some
 
 
+@pytest.mark.parametrize("hot", [0, 60])
+def test_similar_groups_whatever_their_size(spark, hot):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((40, 8)), np.ones((hot, 8)) + 0.01 * rng.standard_normal((hot, 8)), [[1.0] * 8]])
+    labels = [i % 8 for i in range(40)] + [8] * hot + [9]
+    df = spark.createDataFrame([(i, g, v.tolist()) for i, (g, v) in enumerate(zip(labels, x, strict=True))] + [(900, None, [1.0] * 8), (901, 3, None)], "id long, g long, v array<double>").repartition(3)
+    got = search.similar_groups(df, df.select("g").distinct(), "g", "id", "v", 5).orderBy("query_id", "rank").collect()
+    u, g = x / np.linalg.norm(x, axis=1, keepdims=True), np.array(labels)
+    for q in set(labels):
+        m = x[g == q].mean(axis=0)
+        d = {o: round(min(1 - u[g == o] @ m / np.linalg.norm(m)), 9) for o in set(labels) - {q}}
+        assert [r.other for r in got if r.query_id == q] == sorted(d, key=lambda o: (d[o], o))[:5]
+
+
 def test_copies_have_the_links_of_their_class(spark, tmp_path):
     near, far = [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
     rows = [(0, near), (1, [1.0, 0.0, 0.0]), (2, near), (3, near), (4, far), (5, far), (6, None), (7, [0.0] * 3)]
