@@ -157,8 +157,9 @@ def likely_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float = 0
 def greedy_groups(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(seed, member, similarity): each item joins the first earlier item that it matches and that is itself a seed.
 
-    Items are taken in order of id. An item without a match to an earlier undecided or seed item is a seed; those that match a
-    seed join the least such one; the rest waits for the next round. This gives the result of a sequential pass.
+    Items are taken in order of id. In a round, an item without an earlier undecided or seed item that it matches is a seed. One whose
+    first such item is a seed joins it; any other waits, since an earlier undecided item may still become its seed. This gives the
+    result of a sequential pass.
     """
     disk = Scratch(pairs.sparkSession, "greedy")
     open_ = disk.table(pairs.select("a", "b", "similarity"))
@@ -166,14 +167,15 @@ def greedy_groups(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     for _ in range(max_rounds):
         if open_.isEmpty():
             break
-        later = open_.select(F.col("b").alias("a")).distinct()
-        seeds = disk.table(open_.select("a").distinct().join(later, "a", "left_anti"))
-        joined = open_.join(seeds, "a", "left_semi").groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("s"))
-        taken = disk.table(joined.select(F.col("s.a").alias("seed"), F.col("b").alias("member"), F.col("s.similarity").alias("similarity")))
+        # Pairs stay open while a is undecided or a seed and b is undecided.
+        seeds = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        first = open_.groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("s")).select(F.col("s.a").alias("a"), "b", "s.similarity")
+        taken = disk.table(first.join(seeds, "a", "left_semi").select(F.col("a").alias("seed"), F.col("b").alias("member"), "similarity"))
         groups = taken if groups is None else groups.unionByName(taken)
-        done = taken.select(F.col("member").alias("a")).unionByName(seeds)
-        rest = open_.join(done, "a", "left_anti").join(taken.select(F.col("member").alias("b")), "b", "left_anti")
-        open_ = disk.table(rest.select("a", "b", "similarity"))
+        members = taken.select(F.col("member").alias("b"))
+        rest = disk.table(open_.join(members, "b", "left_anti").join(members.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b", "similarity"))
+        disk.drop(open_)
+        open_ = rest
     else:
         raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
     return groups if groups is not None else pairs.select(F.col("a").alias("seed"), F.col("b").alias("member"), "similarity")

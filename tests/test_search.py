@@ -116,6 +116,20 @@ def test_similar_groups_whatever_their_size(spark, hot):
         assert [r.other for r in got if r.query_id == q] == sorted(d, key=lambda o: (d[o], o))[:5]
 
 
+def test_greedy_groups_against_a_sequential_pass(spark):
+    rng = np.random.default_rng(8)
+    graphs = [[(1, 2), (2, 3), (3, 6), (4, 6)]] + [[(a, b) for a in range(25) for b in range(a + 1, 25) if rng.random() < p] for p in (0.05, 0.12, 0.3)]
+    for edges in graphs:
+        near, decided, want = set(edges), set(), set()
+        for a in sorted({x for e in edges for x in e}):
+            if a not in decided:
+                own = {b for b in range(a + 1, 25) if (a, b) in near and b not in decided}
+                decided |= own
+                want |= {(a, b, a + b / 100) for b in own}
+        got = duplicates.greedy_groups(spark.createDataFrame([(a, b, a + b / 100) for a, b in edges], "a long, b long, similarity double")).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_copies_have_the_links_of_their_class(spark, tmp_path):
     near, far = [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
     rows = [(0, near), (1, [1.0, 0.0, 0.0]), (2, near), (3, near), (4, far), (5, far), (6, None), (7, [0.0] * 3)]
