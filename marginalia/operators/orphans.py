@@ -88,7 +88,8 @@ class ForeignKey:
 def inherited_orphans(tables: dict[str, DataFrame], direct: DataFrame, keys: list[ForeignKey], max_depth: int = 100) -> DataFrame:
     """Orphaned records as (src_table, row_id, depth): 0 for those in ``direct`` (src_table, row_id), more for inherited.
 
-    A record is indirectly orphaned when it refers to a key all of whose records are orphaned. Semi-joins go down the
+    A record is indirectly orphaned when it refers to a key all of whose records are orphaned, in all parents that its column has
+    among ``keys``. Semi-joins go down the
     foreign keys until a round finds no new record; circles end since a record is found once. Null keys and
     references are none. ``tables`` have a unique ``row_id`` each.
     """
@@ -97,13 +98,19 @@ def inherited_orphans(tables: dict[str, DataFrame], direct: DataFrame, keys: lis
     known = disk.table(direct.select("src_table", "row_id").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         found = None
-        for fk in keys:
-            gone_ids = known.where(F.col("src_table") == fk.parent).select("row_id")
-            parents = tables[fk.parent].select("row_id", F.col(fk.key).alias("k")).where(F.col("k").isNotNull())
-            gone = parents.join(gone_ids, "row_id", "left_semi").select("k").distinct()
-            alive = parents.join(gone_ids, "row_id", "left_anti").select("k").distinct()
-            children = tables[fk.child].select("row_id", F.col(fk.column).alias("k")).join(gone.join(alive, "k", "left_anti"), "k", "left_semi")
-            new = children.select(F.lit(fk.child).alias("src_table"), "row_id")
+        for child, column in dict.fromkeys((fk.child, fk.column) for fk in keys):
+            gone = alive = None
+            for fk in keys:
+                if (fk.child, fk.column) == (child, column):
+                    gone_ids = known.where(F.col("src_table") == fk.parent).select("row_id")
+                    parents = tables[fk.parent].select("row_id", F.col(fk.key).alias("k")).where(F.col("k").isNotNull())
+                    own_gone = parents.join(gone_ids, "row_id", "left_semi").select("k")
+                    own_alive = parents.join(gone_ids, "row_id", "left_anti").select("k")
+                    gone = own_gone if gone is None else gone.unionByName(own_gone)
+                    alive = own_alive if alive is None else alive.unionByName(own_alive)
+            lost = gone.distinct().join(alive.distinct(), "k", "left_anti")
+            children = tables[child].select("row_id", F.col(column).alias("k")).join(lost, "k", "left_semi")
+            new = children.select(F.lit(child).alias("src_table"), "row_id")
             found = new if found is None else found.unionByName(new)
         if found is None:
             break
@@ -118,8 +125,8 @@ def orphan_references(links: DataFrame, aliases: DataFrame, chunks: DataFrame, c
     """Orphan references as (src_table, ref_field, row_id, reason, period_month, kind, depth).
 
     ``kind`` is ``direct`` for a reference no life of whose notes covers its row's time (see ``judged``), with depth 0, and
-    ``inherited`` for the target of a link that stands in an orphaned note's row or is named only by orphaned alias rows, with
-    reason ``inherited``; a reference that is an orphan itself is not also inherited.
+    ``inherited`` for the target of a link that stands in an orphaned note's row or is named only by orphaned alias rows (by no
+    sound one, and by the path or stem of no note in ``catalog``), with reason ``inherited``; a reference that is an orphan itself is not also inherited.
 
     References are both ends of ``links`` (external ones have no target), and ``note_path`` of ``aliases`` and ``chunks``. Null
     and blank ones are none. Paths must equal a path in ``catalog`` as written; a target without path names all notes whose
@@ -152,7 +159,9 @@ def orphan_references(links: DataFrame, aliases: DataFrame, chunks: DataFrame, c
 
     rows = {"aliases": aliases.select(F.col("alias_id").cast("long").alias("row_id"), present(F.col("alias_normalized")).alias("name"))}
     rows["links"] = link.where("NOT external").select(F.col("link_id").cast("long").alias("row_id"), F.when(is_blank(F.col("to_note_path")), present(F.col("link_target_normalized"))).alias("name"))
-    whole = inherited_orphans(rows, found.where("src_table = 'aliases' OR ref_field = 'from_note_path'"), [ForeignKey("links", "name", "aliases", "name")])
+    rows["note_catalog"] = disk.table(names.where(~is_blank(F.col("name"))).select("name").distinct().select(F.xxhash64("name").alias("row_id"), "name"))
+    name_keys = [ForeignKey("links", "name", "aliases", "name"), ForeignKey("links", "name", "note_catalog", "name")]
+    whole = inherited_orphans(rows, found.where("src_table = 'aliases' OR ref_field = 'from_note_path'"), name_keys)
     reached = whole.where("src_table = 'links'").select("row_id", "depth")
     targets = link.where("NOT external").where(target.isNotNull()).select(F.col("link_id").cast("long").alias("row_id"), F.date_format(F.col("recorded_at").cast("timestamp_ntz"), "yyyy-MM").alias("period_month"))
     direct_targets = found.where("ref_field = 'target'").select("row_id")

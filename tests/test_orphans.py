@@ -101,6 +101,14 @@ def test_inherited_and_report(spark):
     assert {(r.src_table, r.kind): r.n_references for r in orphan_report(out).collect()} == {("links", "direct"): 1, ("aliases", "direct"): 1, ("links", "inherited"): 2}
 
 
+def test_names_that_a_note_has_are_not_inherited(spark):
+    lives = [("x/Nick.md", DAY(0), None), ("b.md", DAY(0), DAY(3))]
+    links = [(1, "x/Nick.md", "wikilink", "", "nick", DAY(2)), (2, "x/Nick.md", "wikilink", "", "x/nick", DAY(2)), (3, "x/Nick.md", "wikilink", "", "other", DAY(2))]
+    aliases = [(1, "b.md", "nick", DAY(5)), (2, "b.md", "x/nick", DAY(5)), (3, "b.md", "other", DAY(5))]
+    out = orphan_references(*tables(spark, links=links, aliases=aliases, lives=lives))
+    assert {(r.row_id, r.ref_field) for r in out.where("kind = 'inherited'").collect()} == {(3, "target")}
+
+
 def test_empty(spark):
     assert orphan_references(*tables(spark)).count() == 0
     assert direct(spark, chunks=[(1, "a", DAY(0))]) == {("chunks", "note_path", 1): ("missing", "2024-01")}
