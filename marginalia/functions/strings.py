@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as white space (Unicode White_Space plus the four ASCII separators U+001C..U+001F).
-WHITE = "(?U)[\\s\\x1c-\\x1f]"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # File endings removed when a link target is normalised.
 TARGET_ENDINGS = ("md", "canvas", "pdf", "png", "jpg", "jpeg", "gif", "svg", "webp")
@@ -14,7 +14,7 @@ TARGET_ENDINGS = ("md", "canvas", "pdf", "png", "jpg", "jpeg", "gif", "svg", "we
 
 def strip(c: Column) -> Column:
     """``c`` without white space of any script at both ends; null stays null."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:

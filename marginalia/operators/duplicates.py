@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.lineage import Scratch
 from marginalia.functions.vectors import dot, norm
+from marginalia.operators.graph import IN_TASK, components
 from marginalia.operators.skew import join_unique
 
 SEED = 20_240_101
-MOST_BANDS = 512
 # Of the exact search: vectors in a block at most, and below which more blocks are not worth it; rows of a product at a time.
 BLOCK, LEAST_BLOCK, STRIP = 4096, 256, 256
 BLOCK_BYTES, PAIR_BYTES = 32 << 20, 16 << 20
@@ -29,8 +29,10 @@ MOST_TASKS = 5000
 
 def bands_for(threshold: float, recall: float, bits: int) -> int:
     """Bands so that a pair at the threshold meets in one with probability ``recall``."""
-    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    return min(MOST_BANDS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))))
+    if threshold <= 0:
+        raise ValueError("signs do not select at a threshold of 0 or less: use similar_pairs")
+    agree = 1 - math.acos(min(1.0, threshold)) / math.pi
+    return 1 if agree == 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits)))
 
 
 def bits_for(threshold: float) -> int:
@@ -139,8 +141,8 @@ def similar_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float =
 def likely_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float = 0.9, recall: float = 0.99) -> DataFrame:
     """An approximation of ``similar_pairs`` for high thresholds over many vectors: it loses pairs.
 
-    What is returned is exact; of the pairs at the threshold a share of ``recall`` is found by design, of closer ones more, and
-    less where ``MOST_BANDS`` does not suffice. Vectors that share a band's key meet in one join without blocks.
+    What is returned is exact; of the pairs at the threshold a share of ``recall`` is found by design, of closer ones more.
+    Vectors that share a band's key meet in one join without blocks. The threshold must be over 0.
     """
     disk = Scratch(rows.sparkSession, "likely")
     heads = disk.table(_heads(rows, id_col, vector))
@@ -154,30 +156,54 @@ def likely_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float = 0
     return both.select("a", "b", cosine.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def greedy_groups(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _sequential(table: pa.Table) -> pa.Table:
+    """``greedy_groups`` of the pairs of one component, item by item."""
+    earlier: dict[int, list[tuple[int, float]]] = {}
+    for a, b, similarity in zip(*(table.column(c).to_pylist() for c in ("a", "b", "similarity")), strict=True):
+        earlier.setdefault(b, []).append((a, similarity))
+    joined: dict[int, tuple[int, float]] = {}
+    for b in sorted(earlier):
+        if seeds := [x for x in earlier[b] if x[0] not in joined]:
+            joined[b] = min(seeds)
+    return pa.table({"seed": pa.array([s for s, _ in joined.values()], pa.int64()), "member": pa.array(list(joined), pa.int64()), "similarity": pa.array([x for _, x in joined.values()], pa.float64())})
+
+
+def greedy_groups(pairs: DataFrame, in_task: int = IN_TASK, rounds: int = 10) -> DataFrame:
     """(seed, member, similarity): each item joins the first earlier item that it matches and that is itself a seed.
 
-    Items are taken in order of id. In a round, an item without an earlier undecided or seed item that it matches is a seed. One whose
-    first such item is a seed joins it; any other waits, since an earlier undecided item may still become its seed. This gives the
-    result of a sequential pass.
+    Items are taken in order of id. Components of at most ``in_task`` pairs are gone through in a task each. Larger ones are settled in rounds of joins, until
+    none is left: an item without an earlier undecided or seed item that it matches is a seed. One whose first such item is a
+    seed joins it; any other waits, since an earlier undecided item may still become its seed. After every ``rounds`` rounds
+    what is left is cut into components again. Both ways give the result of a sequential pass.
     """
     disk = Scratch(pairs.sparkSession, "greedy")
     open_ = disk.table(pairs.select("a", "b", "similarity"))
     groups = None
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
-        # Pairs stay open while a is undecided or a seed and b is undecided.
-        seeds = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        first = open_.groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("s")).select(F.col("s.a").alias("a"), "b", "s.similarity")
-        taken = disk.table(first.join(seeds, "a", "left_semi").select(F.col("a").alias("seed"), F.col("b").alias("member"), "similarity"))
-        groups = taken if groups is None else groups.unionByName(taken)
-        members = taken.select(F.col("member").alias("b"))
-        rest = disk.table(open_.join(members, "b", "left_anti").join(members.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b", "similarity"))
-        disk.drop(open_)
+
+    def add(df: DataFrame) -> None:
+        nonlocal groups
+        groups = df if groups is None else groups.unionByName(df)
+
+    while not open_.isEmpty():
+        label = components(open_.select("a", "b")).withColumnRenamed("node", "a")
+        placed = disk.table(join_unique(open_, label, "a", open_.groupBy("a").agg(F.count("*").alias("n")), open_.count()))
+        large = F.broadcast(disk.table(placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > in_task).select("component")))
+        add(disk.table(placed.join(large, "component", "left_anti").groupBy("component").applyInArrow(_sequential, "seed long, member long, similarity double")))
+        rest = disk.table(placed.join(large, "component", "left_semi").select("a", "b", "similarity"))
+        disk.drop(open_, placed)
         open_ = rest
-    else:
-        raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+        for _ in range(rounds):
+            if open_.isEmpty():
+                break
+            # Pairs stay open while a is undecided or a seed and b is undecided.
+            seeds = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+            first = open_.groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("s")).select(F.col("s.a").alias("a"), "b", "s.similarity")
+            taken = disk.table(first.join(seeds, "a", "left_semi").select(F.col("a").alias("seed"), F.col("b").alias("member"), "similarity"))
+            add(taken)
+            members = taken.select(F.col("member").alias("b"))
+            rest = disk.table(open_.join(members, "b", "left_anti").join(members.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b", "similarity"))
+            disk.drop(open_)
+            open_ = rest
     return groups if groups is not None else pairs.select(F.col("a").alias("seed"), F.col("b").alias("member"), "similarity")
 
 

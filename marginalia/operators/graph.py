@@ -5,14 +5,17 @@ All algorithms are joins and aggregations over edge tables. None collects a comp
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.lineage import Scratch
 from marginalia.functions.strings import is_blank, stem
-from marginalia.operators.skew import join_unique
+from marginalia.operators.skew import hot_bound, join_unique
 
 SIBLING_BUCKETS = 64
+# Pairs of a cluster that one task may hold.
+IN_TASK = 200_000
 
 
 def note_edges(links: DataFrame, folder: str | None = None) -> DataFrame:
@@ -47,35 +50,62 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
 
 
-def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def numbered(pairs: DataFrame, disk: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Edges (x, y) of ``pairs`` (a, b) by numbers, their nodes (v, name, n), and the number of edge ends.
+
+    Numbers are in the order of the names; ``n`` tells in how many pairs a node stands. Nodes with many pairs are joined without moving these.
+    """
+    ends = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).groupBy("name").agg(F.count("*").alias("n"))
+    ordered = ends.repartitionByRange("name").sortWithinPartitions("name")
+    nodes, seen = disk.measured(ordered.select(F.monotonically_increasing_id().alias("v"), "name", "n"), total=F.sum("n"), most=F.max("n"))
+    total = seen["total"] or 0
+    counts = nodes if (seen["most"] or 0) > hot_bound(total) else None
+    out = pairs
+    for side, number in (("a", "x"), ("b", "y")):
+        known = nodes.select(F.col("name").alias(side), F.col("v").alias(number))
+        out = join_unique(out, known, side, counts.select(F.col("name").alias(side), "n"), total) if counts else out.join(known, side)
+    return disk.table(out.select("x", "y")), nodes, total
+
+
+def components(pairs: DataFrame) -> DataFrame:
     """(node, component): the least node of the node's connected component, for every node of ``pairs`` (a, b).
 
-    Two star operations alternate until nothing changes: each node links its larger neighbours to its least one, then its
-    smaller ones and itself. Both are one aggregation and one join; edges never grow in number.
+    Nodes are numbered in their order. Two star operations alternate until nothing changes: each node links its larger neighbours to
+    its least one, then its smaller ones and itself. Both are one aggregation and one join; edges never grow in number, and rounds
+    with the logarithm of the longest path. A round is one job; only tables in which a node may be hot are written in between.
     """
     disk = Scratch(pairs.sparkSession, "components")
-    edges = disk.table(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    edges, nodes, total = numbered(pairs, disk)
     mark = None
-    for _ in range(max_rounds):
+    while True:
+        held = []
+
+        def reused(df: DataFrame, total: int = total, held: list = held) -> DataFrame:
+            if total <= hot_bound(total):
+                return df
+            held.append(disk.table(df))
+            return held[-1]
+
         both = edges.select("x", "y").unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = disk.table(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"), F.count("*").alias("n")))
-        total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        least = reused(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n")))
         star = join_unique(both, least.select("x", "m"), "x", least.select("x", "n"), total)
-        large = disk.table(star.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        small_least = disk.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        tied = join_unique(large, small_least.select("u", "m"), "u", small_least.select("u", "n"), total)
-        small = tied.select(F.col("v").alias("y"), F.col("m").alias("x")).unionAll(small_least.select(F.col("u").alias("y"), F.col("m").alias("x")))
-        after = disk.table(small.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        disk.drop(least, large, small_least)
-        seen, mark = mark, tuple(after.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y")), F.coalesce(F.sum(F.xxhash64("y", "x").cast("decimal(38,0)")), F.lit(0))).first())
-        disk.drop(edges)
-        edges = after
-        if mark == seen:
+        large = reused(star.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        own = reused(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        tied = join_unique(large, own.select("u", "m"), "u", own.select("u", "n"), total)
+        small = tied.select(F.col("v").alias("y"), F.col("m").alias("x")).unionAll(own.select(F.col("u").alias("y"), F.col("m").alias("x")))
+        after = small.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        after, now = disk.measured(after, n=F.count("*"), a=F.bit_xor(F.xxhash64("x", "y")), b=F.sum(F.xxhash64("y", "x").cast("decimal(38,0)")))
+        disk.drop(edges, *held)
+        edges, total = after, 2 * now["n"]
+        if now == mark:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    heads = edges.select(F.col("x").alias("node"), F.col("x").alias("component")).distinct()
-    return edges.select(F.col("y").alias("node"), F.col("x").alias("component")).unionByName(heads)
+        mark = now
+
+    heads = edges.groupBy("x").agg(F.count("*").alias("n"))
+    label = edges.select(F.col("y").alias("v"), F.col("x").alias("c")).unionByName(heads.select(F.col("x").alias("v"), F.col("x").alias("c")))
+    named = label.join(nodes.select("v", F.col("name").alias("node")), "v").select("node", "c")
+    of_head = nodes.select(F.col("v").alias("c"), F.col("name").alias("component"))
+    return join_unique(named, of_head, "c", heads.select(F.col("x").alias("c"), (F.col("n") + 1).alias("n")), total).select("node", "component")
 
 
 def link_clusters(edges: DataFrame, min_size: int = 3) -> DataFrame:
@@ -83,35 +113,109 @@ def link_clusters(edges: DataFrame, min_size: int = 3) -> DataFrame:
 
     Density is the share of all pairs of its notes that are linked, to three places.
     """
-    pairs = undirected(edges)
-    label = components(pairs)
+    disk = Scratch(edges.sparkSession, "clusters")
+    pairs = disk.table(undirected(edges))
+    return _measured_clusters(pairs, disk.table(components(pairs)), min_size)
+
+
+def _measured_clusters(pairs: DataFrame, label: DataFrame, min_size: int) -> DataFrame:
     sizes = label.groupBy("component").agg(F.count("*").alias("size"))
-    inner = pairs.join(label.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count("*").alias("n_edges"))
+    inner = _with_component(pairs, label).groupBy("component").agg(F.count("*").alias("n_edges"))
     big = sizes.where(F.col("size") >= min_size).join(inner, "component")
     density = F.round(F.col("n_edges") / (F.col("size") * (F.col("size") - 1) / 2), 3)
     return big.select("component", "size", "n_edges", density.alias("density"))
 
 
-def bridge_notes(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def cluster_members(edges: DataFrame, min_size: int = 3, clusters: int = 20, notes: int = 20) -> DataFrame:
+    """The first ``notes`` notes, by path, of each of the ``clusters`` largest clusters, as (component, size, n_edges, density, node, position,
+    truncated); ``truncated`` tells that the cluster has more. Ties between clusters go by name."""
+    disk = Scratch(edges.sparkSession, "clusters")
+    pairs = disk.table(undirected(edges))
+    label = disk.table(components(pairs))
+    top = _measured_clusters(pairs, label, min_size).orderBy(F.desc("size"), "component").limit(clusters)
+    inside = label.join(F.broadcast(top), "component")
+    # A task's first notes of a cluster suffice for the first of all: clusters of any size are thinned before they meet.
+    part = F.spark_partition_id()
+    near = inside.withColumn("p", part).withColumn("r", F.row_number().over(Window.partitionBy("component", "p").orderBy("node"))).where(F.col("r") <= notes)
+    ranked = near.withColumn("position", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where(F.col("position") <= notes)
+    return ranked.select("component", "size", "n_edges", "density", "node", "position", (F.col("size") > notes).alias("truncated"))
+
+
+def cut_points(u: list, v: list) -> list[tuple[object, int]]:
+    """The articulation points of one component's edges, with the number of parts that come loose (depth-first search)."""
+    near: dict = {}
+    for a, b in zip(u, v, strict=True):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    start = min(near)
+    found_at, low, loose = {start: 0}, {start: 0}, dict.fromkeys(near, 0)
+    path = [(start, None, iter(near[start]))]
+    while path:
+        node, parent, left = path[-1]
+        for other in left:
+            if other not in found_at:
+                found_at[other] = low[other] = len(found_at)
+                path.append((other, node, iter(near[other])))
+                break
+            if other != parent:
+                low[node] = min(low[node], found_at[other])
+        else:
+            path.pop()
+            if parent is not None:
+                low[parent] = min(low[parent], low[node])
+                loose[parent] += low[node] >= found_at[parent]
+    loose[start] -= 1
+    return [(node, n) for node, n in loose.items() if n > 0]
+
+
+def bridge_notes(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """Articulation points, as (node, score, connections): notes without which their cluster falls apart.
 
-    ``score`` is the number of parts that come loose, ``connections`` the distinct neighbours.
+    ``score`` is the number of parts that come loose, ``connections`` the distinct neighbours. Clusters of at most ``in_task``
+    pairs are searched in a task each, larger ones by rounds of joins (``_bridges_by_levels``); both give the same.
+    """
+    disk = Scratch(edges.sparkSession, "clusters")
+    pairs = disk.table(undirected(edges))
+    label = disk.table(components(pairs))
+    placed = disk.table(_with_component(pairs, label))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
+    large = disk.table(sizes.where(F.col("n") > in_task).select("component"))
+
+    def run(table: pa.Table) -> pa.Table:
+        found = cut_points(table.column("a").to_pylist(), table.column("b").to_pylist())
+        return pa.table({"node": pa.array([p for p, _ in found], pa.string()), "score": pa.array([n for _, n in found], pa.int64())})
+
+    points = placed.join(F.broadcast(large), "component", "left_anti").groupBy("component").applyInArrow(run, "node string, score long")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("connections"))
+    out = points.join(degree, "node").select("node", "score", "connections")
+    if large.isEmpty():
+        return out
+    big = placed.join(F.broadcast(large), "component", "left_semi")
+    return out.unionByName(_bridges_by_levels(disk.table(big.select("a", "b")), label.join(F.broadcast(large), "component", "left_semi")))
+
+
+def _with_component(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """``pairs`` with the component of their first node; a node may have any number of pairs."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    return join_unique(pairs, label.withColumnRenamed("node", "a"), "a", counts, pairs.count())
+
+
+def _bridges_by_levels(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """``bridge_notes`` of clusters of any size, from their distinct pairs (a, b) and components.
 
     After Tarjan and Vishkin, level by level of a breadth-first tree: subtree sizes go up, preorder numbers go down by prefix
     sums among siblings, the least and greatest number that a subtree reaches go up. Tree edges that share a circle are then
     connected; each class of them is a block, and a note in several blocks holds them together. The number of rounds is the
     depth of the tree.
     """
-    disk = Scratch(edges.sparkSession, "bridges")
-    pairs = disk.table(undirected(edges))
+    disk = Scratch(pairs.sparkSession, "bridges")
     both = disk.table(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     degree = disk.table(both.groupBy("u").agg(F.count("*").alias("n")))
     n_ends = degree.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    label = disk.table(components(pairs))
 
     levels = [disk.table(label.where("node = component").select("node", F.lit(None).cast("string").alias("parent"), F.col("component").alias("root")))]
     seen = levels[0].select("node")
-    while len(levels) < max_depth:
+    while True:
         front = levels[-1].select(F.col("node").alias("u"), "root")
         reached = join_unique(both, front, "u", degree, n_ends).groupBy("v").agg(F.min(F.struct("u", "root")).alias("p"))
         fresh = reached.join(seen.withColumnRenamed("node", "v"), "v", "left_anti").select(F.col("v").alias("node"), F.col("p.u").alias("parent"), F.col("p.root").alias("root"))
@@ -120,8 +224,6 @@ def bridge_notes(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
             break
         levels.append(fresh)
         seen = disk.table(seen.unionByName(fresh.select("node")))
-    else:
-        raise RuntimeError(f"the links run deeper than {max_depth} levels")
 
     sizes, below = [None] * len(levels), None
     for d in range(len(levels) - 1, -1, -1):

@@ -12,6 +12,8 @@ from marginalia.functions.strings import is_blank, normalize_target, present, st
 from marginalia.operators.skew import is_hot, join_unique
 
 FOREVER = "9999-12-31 00:00:00"
+# Rounds after which what they found is written as one table.
+MOST_PARTS = 20
 
 
 def judged(refs: DataFrame, lives: DataFrame) -> DataFrame:
@@ -19,9 +21,9 @@ def judged(refs: DataFrame, lives: DataFrame) -> DataFrame:
 
     ``lives`` has (key, start, till), till null while the life lasts. A life covers a time from its start until before its
     end. ``missing``: the key has no life; ``late``: one starts after the time; ``deleted``: all others. A null time is covered
-    by none. Lives and references of a key are put in order of time, and the latest end so far is carried along. Keys that
-    hold over a thousandth of all rows are first thinned to their distinct times and cut by day, with the days before summed up, so
-    that no key needs to fit into one task.
+    by none. Lives and references of a key are put in order of time, and the latest end so far is carried along. Keys of more rows than
+    a task should hold are first thinned to their distinct times and cut by day, with the days before summed up, so that no key
+    needs to fit into one task.
     """
     disk = Scratch(refs.sparkSession, "judged")
     lasting = F.lit(FOREVER).cast("timestamp_ntz")
@@ -85,40 +87,50 @@ class ForeignKey:
     key: str
 
 
-def inherited_orphans(tables: dict[str, DataFrame], direct: DataFrame, keys: list[ForeignKey], max_depth: int = 100) -> DataFrame:
+def inherited_orphans(tables: dict[str, DataFrame], direct: DataFrame, keys: list[ForeignKey]) -> DataFrame:
     """Orphaned records as (src_table, row_id, depth): 0 for those in ``direct`` (src_table, row_id), more for inherited.
 
     A record is indirectly orphaned when it refers to a key all of whose records are orphaned, in all parents that its column has
-    among ``keys``. Semi-joins go down the
-    foreign keys until a round finds no new record; circles end since a record is found once. Null keys and
-    references are none. ``tables`` have a unique ``row_id`` each.
+    among ``keys``. Semi-joins go down the foreign keys until a round finds no new record, however deep that is; circles end since a
+    record is found once. A round looks only at keys of records found in the round before: a key is lost when its last record is.
+    Null keys and references are none. ``tables`` have a unique ``row_id`` each. Keys with many referring records are joined
+    without moving these.
     """
-    spark = direct.sparkSession
-    disk = Scratch(spark, "orphans")
-    known = disk.table(direct.select("src_table", "row_id").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
+    disk = Scratch(direct.sparkSession, "orphans")
+    columns = list(dict.fromkeys((fk.child, fk.column) for fk in keys))
+    children, sizes = {}, {}
+    for child, column in columns:
+        rows = tables[child].select("row_id", F.col(column).alias("k")).where(F.col("k").isNotNull())
+        children[child, column] = rows
+        counted, seen = disk.measured(rows.groupBy("k").agg(F.count("*").alias("n")), total=F.sum("n"))
+        sizes[child, column] = counted, seen["total"] or 0
+
+    fresh = known = disk.table(direct.select("src_table", "row_id").distinct().withColumn("depth", F.lit(0)))
+    n_parts, depth = 1, 0
+    while True:
+        depth += 1
         found = None
-        for child, column in dict.fromkeys((fk.child, fk.column) for fk in keys):
+        for child, column in columns:
             gone = alive = None
             for fk in keys:
                 if (fk.child, fk.column) == (child, column):
-                    gone_ids = known.where(F.col("src_table") == fk.parent).select("row_id")
                     parents = tables[fk.parent].select("row_id", F.col(fk.key).alias("k")).where(F.col("k").isNotNull())
-                    own_gone = parents.join(gone_ids, "row_id", "left_semi").select("k")
-                    own_alive = parents.join(gone_ids, "row_id", "left_anti").select("k")
+                    own_gone = parents.join(fresh.where(F.col("src_table") == fk.parent).select("row_id"), "row_id", "left_semi").select("k")
+                    own_alive = parents.join(known.where(F.col("src_table") == fk.parent).select("row_id"), "row_id", "left_anti").select("k")
                     gone = own_gone if gone is None else gone.unionByName(own_gone)
                     alive = own_alive if alive is None else alive.unionByName(own_alive)
-            lost = gone.distinct().join(alive.distinct(), "k", "left_anti")
-            children = tables[child].select("row_id", F.col(column).alias("k")).join(lost, "k", "left_semi")
-            new = children.select(F.lit(child).alias("src_table"), "row_id")
+            lost = gone.distinct().join(alive, "k", "left_anti")
+            new = join_unique(children[child, column], lost, "k", *sizes[child, column]).select(F.lit(child).alias("src_table"), "row_id")
             found = new if found is None else found.unionByName(new)
         if found is None:
-            break
-        fresh = disk.table(found.distinct().join(known.select("src_table", "row_id"), ["src_table", "row_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if fresh.isEmpty():
-            break
-        known = disk.table(known.unionByName(fresh))
-    return known
+            return known
+        once = found.distinct().join(known.select("src_table", "row_id"), ["src_table", "row_id"], "left_anti").withColumn("depth", F.lit(depth))
+        fresh, seen = disk.measured(once, n=F.count("*"))
+        if not seen["n"]:
+            return known
+        known, n_parts = known.unionByName(fresh), n_parts + 1
+        if n_parts > MOST_PARTS:
+            known, n_parts = disk.table(known), 1
 
 
 def orphan_references(links: DataFrame, aliases: DataFrame, chunks: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from marginalia.operators.graph import bridge_notes, components, link_clusters, undirected
+from marginalia.operators import skew
+from marginalia.operators.graph import bridge_notes, cluster_members, components, link_clusters, undirected
 
 EDGE = "source string, target string"
 
@@ -35,13 +36,28 @@ def brute(edges):
     return {x: min(p) for p in whole for x in p}, points
 
 
-def test_random_graphs(spark):
+@pytest.mark.parametrize("hot", [10**9, 5])
+def test_random_graphs(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
     rng = random.Random(5)
     edges = [(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(38)] + [("hub", f"s{i}") for i in range(20)]
     df = spark.createDataFrame(edges, EDGE)
     label, points = brute(edges)
     assert {r.node: r.component for r in components(undirected(df)).collect()} == label
-    assert {r.node: (r.score, r.connections) for r in bridge_notes(df).collect()} == points
+    assert {r.node: (r.score, r.connections) for r in bridge_notes(df, 10**6 if hot > 5 else 0).collect()} == points
+
+
+def test_a_long_chain(spark):
+    name = lambda i: f"n{i:05d}"
+    df = spark.range(5000).selectExpr("format_string('n%05d', id) AS source", "format_string('n%05d', id + 1) AS target")
+    assert {r.component for r in components(undirected(df)).collect()} == {name(0)}
+    assert {r.node: r.score for r in bridge_notes(df).collect()} == {name(i): 1 for i in range(1, 5000)}
+
+
+def test_cluster_members(spark):
+    df = spark.createDataFrame([(f"a{i}", f"a{i + 1}") for i in range(5)] + [("b0", "b1"), ("b1", "b2"), ("c0", "c1")], EDGE)
+    got = [(r.component, r["size"], r.node, r.position, r.truncated) for r in cluster_members(df, 3, 5, 4).orderBy("component", "position").collect()]
+    assert got == [("a0", 6, f"a{i}", i + 1, True) for i in range(4)] + [("b0", 3, f"b{i}", i + 1, False) for i in range(3)]
 
 
 @pytest.mark.parametrize(

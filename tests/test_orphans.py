@@ -70,7 +70,7 @@ def test_random_lives_with_and_without_hot_keys(spark, monkeypatch):
 
     for hot in (10**9, 20):
         monkeypatch.setattr(skew, "HOT_ROWS", hot)
-        monkeypatch.setattr(skew, "HOT_SHARE", 10**6)
+        monkeypatch.setattr(skew, "MOST_HOT", 10**6)
         lives, refs = random_case(hot)
         a = spark.createDataFrame([(p, t, (i,)) for i, p, t in refs], "key string, ts timestamp_ntz, ref struct<row_id:long>")
         b = spark.createDataFrame(lives, "key string, start timestamp_ntz, till timestamp_ntz")
@@ -92,6 +92,15 @@ def test_cascade_reaches_a_fixpoint(spark):
     assert got == {("a", 1): 0, ("a", 2): 0, ("b", 1): 1, ("c", 1): 2, ("c", 2): 3, ("c", 4): 4, ("c", 3): 5}
 
 
+def test_cascade_has_no_depth_limit(spark):
+    rows = [(i, f"k{i}", f"k{i - 1}") for i in range(1, 111)]
+    t = {"a": spark.createDataFrame(rows, "row_id long, key string, parent string").coalesce(1)}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    found = inherited_orphans(t, spark.createDataFrame([("a", 1)], "src_table string, row_id long"), [ForeignKey("a", "parent", "a", "key")])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.row_id: r.depth for r in found.collect()} == {i: i - 1 for i in range(1, 111)}
+
+
 def test_inherited_and_report(spark):
     lives = [("a.md", DAY(0), None), ("b.md", DAY(0), DAY(3))]
     links = [(1, "gone.md", "wikilink", "a.md", "a", DAY(5)), (2, "a.md", "wikilink", "", "nick", DAY(2)), (3, "a.md", "wikilink", "a.md", "a", DAY(5))]
