@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.lineage import Scratch
 from marginalia.functions.strings import present, strip
-from marginalia.operators.skew import join_unique
+from marginalia.operators.graph import numbered
+from marginalia.operators.skew import hot_bound, join_unique
 
 
 def _clean_pairs(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -16,55 +17,40 @@ def _clean_pairs(edges: DataFrame, source: str, target: str) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def connected_groups(edges: DataFrame, source: str = "source", target: str = "target", max_rounds: int = 60) -> DataFrame:
+def connected_groups(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """One row per node as (note_path, group_path): the least node, by code points, that pairs link it to.
 
     Hash-to-min: every node holds a cluster, at first itself and its neighbours. In a round it sends the cluster to the
-    cluster's least member and that member to all others; what a node receives is its next cluster. When no cluster changes,
-    the least node of a group holds the group and all others hold the least node. Clusters are rows (node, member), never
-    collections, so a giant group is spread like any table; a node that holds over a thousandth of all rows is joined by
-    broadcast of its one row. Nodes are numbers in the order of their names; each round is written to the shared folder.
+    cluster's least member and that member to all others; what a node receives is its next cluster. Rounds end when every node
+    but the least of its cluster holds nothing but that one, for then no message would bring anything new: the least node of a group
+    holds the group. Their number grows with the logarithm of the longest path. Clusters are rows (node, member), never collections,
+    so a giant group is spread like any table; the rows of a node that has more of them than a task should hold are joined where
+    they are. A node that holds only the least member is told by it and sends no message, as it could only tell it what it knows.
+    Nodes are numbers in the order of their names; each round is written to the shared folder.
 
     Ends are trimmed of white space; pairs with a null or blank end are left out. A node paired with itself alone is its own
     group. Repeated and reversed pairs count once, other columns are ignored, an empty table gives no rows.
     """
-    spark = edges.sparkSession
-    disk = Scratch(spark, "groups")
-    pairs = disk.table(_clean_pairs(edges, source, target))
-    names = pairs.select(F.col("a").alias("note_path")).union(pairs.select("b")).distinct()
-    ordered = names.repartitionByRange("note_path").sortWithinPartitions("note_path")
-    nodes = disk.table(ordered.select(F.monotonically_increasing_id().alias("v"), "note_path"))
-
-    by_a = pairs.join(nodes.select(F.col("v").alias("x"), F.col("note_path").alias("a")), "a")
-    by_b = by_a.join(nodes.select(F.col("v").alias("y"), F.col("note_path").alias("b")), "b")
-    both = by_b.select(F.explode(F.array(F.struct(F.col("x").alias("v"), F.col("y").alias("u")), F.struct(F.col("y").alias("v"), F.col("x").alias("u")), F.struct(F.col("x").alias("v"), F.col("x").alias("u")), F.struct(F.col("y").alias("v"), F.col("y").alias("u")))).alias("p"))
-    clusters = disk.table(both.select("p.v", "p.u").distinct())
-
-    mark = _fingerprint(clusters)
-    for _ in range(max_rounds):
+    disk = Scratch(edges.sparkSession, "groups")
+    pairs, nodes, _ = numbered(disk.table(_clean_pairs(edges, source, target)), disk)
+    clusters = pairs.select(F.inline(F.array(*(F.struct(F.col(v).alias("v"), F.col(u).alias("u")) for v in "xy" for u in "xy")))).distinct()
+    clusters = disk.table(clusters)
+    while True:
         sizes = clusters.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        least = disk.table(sizes)
-        total = mark[0]
-        sent = join_unique(clusters, least.select("v", "m"), "v", least.select("v", "n"), total)
-        rows = sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p"))
-        after = disk.table(rows.select("p.v", "p.u").distinct())
-        disk.drop(clusters, least)
-        clusters, seen = after, mark
-        mark = _fingerprint(clusters)
-        if mark == seen:
+        open_ = F.count_if((F.col("m") < F.col("v")) & (F.col("n") > 1))
+        least, seen = disk.measured(sizes, open=open_, total=F.sum("n"), most=F.max("n"))
+        if not seen["open"]:
             break
-    else:
-        raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
-
-    label = clusters.groupBy("v").agg(F.min("u").alias("m"))
-    sizes = label.groupBy("m").agg(F.count("*").alias("n"))
-    named = nodes.join(label, "v").select("note_path", "m")
-    heads = nodes.select(F.col("v").alias("m"), F.col("note_path").alias("group_path"))
-    return join_unique(named, heads, "m", sizes, max(mark[0], 1)).select("note_path", "group_path")
-
+        known = least.select("v", "m", (F.col("n") == 1).alias("told"))
+        if seen["most"] > hot_bound(seen["total"]):
+            sent = join_unique(clusters, known, "v", least.select("v", "n"), seen["total"])
+        else:
+            sent = clusters.join(known, "v")
+        news = sent.where("v = m OR NOT told").select(F.inline(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))))
+        after = disk.table(news.distinct())
+        disk.drop(clusters, least)
+        clusters = after
 
-def _fingerprint(clusters: DataFrame) -> tuple:
-    """Row count and two sums of 64-bit hashes: two different sets agree in all three with a chance below 2^-100."""
-    h = F.xxhash64("v", "u")
-    g = F.xxhash64(F.lit(7), "u", "v")
-    return tuple(clusters.agg(F.count("*"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(g), F.lit(0))).first())
+    named = nodes.select("v", "name").join(least.select("v", "m"), "v").select(F.col("name").alias("note_path"), "m")
+    heads = least.where("v = m").join(nodes.select("v", "name"), "v").select("m", "n", F.col("name").alias("group_path"))
+    return join_unique(named, heads.select("m", "group_path"), "m", heads.select("m", "n"), seen["total"] or 0).select("note_path", "group_path")
