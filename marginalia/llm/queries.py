@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import encode_texts
@@ -12,7 +12,7 @@ from marginalia.llm.components import connected_groups
 from marginalia.llm.leak import leaked_items, leaked_spans
 from marginalia.llm.neardup import duplicate_classes, near_duplicates, row_pairs
 from marginalia.llm.spam import page_measures, stuffed_pages
-from marginalia.llm.split import split_texts
+from marginalia.llm.split import MAX_CHARS, OVERLAP, split_texts
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -27,13 +27,26 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(_read(spark, sf, "chunks"))
 
 
+def p1_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Every split text put together again from its pieces without their overlaps, with what must hold for all of them."""
+    p = split_texts(_read(spark, sf, "chunks"))
+    in_text = Window.partitionBy("chunk_id").orderBy("piece_no")
+    seen = p.withColumn("end", F.coalesce(F.lag("char_end").over(in_text), F.lit(0)))
+    back = F.when(F.col("piece_no") > 0, F.least(F.lit(OVERLAP), F.col("end"))).otherwise(0)
+    own = F.col("text").substr((back + 1).cast("int"), F.length("text"))
+    sound = (F.length("text") <= MAX_CHARS) & (F.col("char_end") - F.col("char_start") == F.length("text")) & (F.col("char_start") == F.col("end") - back)
+    parts = seen.select("chunk_id", "headers", "char_end", F.struct("piece_no", own.alias("t")).alias("part"), sound.alias("sound"))
+    whole = parts.groupBy("chunk_id", "headers").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("char_end").alias("n_chars"), F.bool_and("sound").alias("sound"))
+    return whole.select("chunk_id", "headers", F.md5(F.array_join(F.transform("parts", lambda x: x["t"]), "").cast("binary")).alias("text_md5"), "n_chars", "sound")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(_read(spark, sf, "chunks"), "chunk_id", threshold=0.7, size=3, least_words=30)
     return row_pairs(found).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return duplicate_classes(_read(spark, sf, "chunks"), "chunk_id")
+    return duplicate_classes(_read(spark, sf, "chunks"), "chunk_id", threshold=0.7, size=3, least_words=30)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +73,7 @@ def p8_measures(spark: SparkSession, sf: str) -> DataFrame:
     return page_measures(_read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p5_found, p6_ids, p7_found, p7_spans, p8_found, p8_measures)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_classes, p5_found, p6_ids, p7_found, p7_spans, p8_found, p8_measures)}
 
 
 _WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
@@ -72,8 +85,11 @@ def _runs(table: str, key: str, n: int) -> str:
       SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS pos FROM (SELECT {key}, {_WORDS.format("text")} AS ws FROM {table} WHERE text IS NOT NULL))"""
 
 
+_TRIMMED = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
+
 ORACLE: dict[str, str] = {
-    "p1_found": "SELECT chunk_id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 2000",
+    "p1_found": f"SELECT chunk_id FROM chunks WHERE length({_TRIMMED}) > 2000",
+    "p1_rebuilt": f"SELECT chunk_id, headers, md5({_TRIMMED}) AS text_md5, length({_TRIMMED}) AS n_chars, true AS sound FROM chunks WHERE length({_TRIMMED}) > 2000",
     "p2_found": f"""
 WITH long AS (SELECT chunk_id, text FROM chunks WHERE len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) >= 30),
 runs AS (SELECT DISTINCT chunk_id, hash(run) AS run FROM ({_runs("long", "chunk_id", 3)})),

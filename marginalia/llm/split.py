@@ -19,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.lineage import Scratch
+
 MAX_CHARS, OVERLAP, RANGE_BYTES = 2000, 200, 1 << 16
+RANGES_PER_BLOCK = 4096
 
 PIECE = "range_no long, local_no int, char_start long, char_end long, text string, range_chars long, n_local int"
 
@@ -36,19 +39,21 @@ _BREAKS = tuple(
 
 
 def best_cut(text: str, least: int, most: int) -> int:
-    """The last boundary of the best kind within ``least`` < cut <= ``most``; ``most`` itself where there is none.
+    """The last boundary of the best kind within ``least`` < cut <= ``most``; where there is none, within the part before; only text
+    without any boundary is cut at ``most``.
 
     Paragraph ends come before line ends, these before sentence ends, these before word ends.
     """
-    for kind in _BREAKS:
-        cut = 0
-        for m in kind.finditer(text, max(0, least - 1), min(len(text), most + 1)):
-            if least < m.end() <= most:
-                cut = m.end()
-            elif m.start() < most < m.end():  # a long run of white space may be cut anywhere
-                cut = most
-        if cut:
-            return cut
+    for low, high in ((least, most), (0, least)):
+        for kind in _BREAKS:
+            cut = 0
+            for m in kind.finditer(text, max(0, low - 1), min(len(text), high + 1)):
+                if low < m.end() <= high:
+                    cut = m.end()
+                elif m.start() < high < m.end():  # a long run of white space may be cut anywhere
+                    cut = high
+            if cut:
+                return cut
     while most > least + 1 and most < len(text) and _joins(text[most]):
         most -= 1
     return most
@@ -150,16 +155,23 @@ def halo(k: int, n_bytes: int, max_chars: int, overlap: int, range_bytes: int) -
     return lo, hi - lo
 
 
-def _number(local: DataFrame, key: list[str]) -> DataFrame:
-    """Prefix sums over the ranges' tables (a row a range), joined back to the pieces."""
-    ranges = local.where("local_no = 0").select(*key, "range_no", "range_chars", "n_local")
-    before = Window.partitionBy(*key).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*key)
-    table = ranges.select(*key, "range_no", F.coalesce(F.sum("range_chars").over(before), F.lit(0)).alias("_chars"), F.coalesce(F.sum("n_local").over(before), F.lit(0)).alias("_pieces"), F.sum("n_local").over(every).alias("n_pieces"))
-    return local.where(F.col("text").isNotNull()).join(table, [*key, "range_no"])
-
+def _number(local: DataFrame, key: str) -> DataFrame:
+    """Prefix sums over the ranges' tables (a row a range), joined back to the pieces; ``key`` tells texts apart.
 
-def _finish(one: DataFrame, many: DataFrame, key: list[str], carry: list[str]) -> DataFrame:
+    Ranges are summed in blocks first, so no task holds more rows of one text than a block's or the number of its blocks.
+    """
+    ranges = local.where("local_no = 0").select(key, "range_no", "range_chars", "n_local", F.floor(F.col("range_no") / RANGES_PER_BLOCK).alias("_block"))
+    ahead = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = ranges.groupBy(key, "_block").agg(F.sum("range_chars").alias("c"), F.sum("n_local").alias("p"))
+    of_blocks = Window.partitionBy(key).orderBy("_block")
+    starts = blocks.select(key, "_block", ahead(of_blocks, "c").alias("_c"), ahead(of_blocks, "p").alias("_p"))
+    within = Window.partitionBy(key, "_block").orderBy("range_no")
+    table = ranges.select(key, "_block", "range_no", ahead(within, "range_chars").alias("_chars"), ahead(within, "n_local").alias("_pieces")).join(starts, [key, "_block"])
+    table = table.select(key, "range_no", (F.col("_chars") + F.col("_c")).alias("_chars"), (F.col("_pieces") + F.col("_p")).alias("_pieces"))
+    return local.where(F.col("text").isNotNull()).join(table, [key, "range_no"])
+
+
+def _finish(one: DataFrame, many: DataFrame, key: str, carry: list[str]) -> DataFrame:
     """Pieces with global numbers: ``one`` has the pieces of texts of a single range, which need no stitching."""
     single = one.where(F.col("text").isNotNull()).withColumns({"_chars": F.lit(0).cast("long"), "_pieces": F.lit(0).cast("long")})
     several = _number(many, key)
@@ -172,31 +184,32 @@ def split_texts(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
 
     A text counts without spaces, tabs, CR and LF at both ends; offsets count from its first remaining character. A piece
     has ``max_chars`` characters at most and repeats the last ``overlap`` characters before it (fewer where fewer stand
-    there). Cuts stand at the last paragraph end in the window, else line end, sentence end, word end; only text without
-    any is cut hard. Joined without their overlaps, the pieces give the text back. ``carry`` columns come along as they are
-    (null stays null). Texts within the limit, null, empty and blank ones give no row; an empty table gives none; rows with
-    the same text are split alike; other columns of ``df`` are ignored, whatever their names. ``id_col`` must be unique:
-    of a null or repeated id the pieces are numbered as one text's where it spans several ranges.
+    there). Cuts stand at the last paragraph end in the later half of the window, else line end, sentence end, word end, else at such an
+    end in its earlier half; only text without any is cut hard. Joined without their overlaps, the pieces give the text back.
+    ``carry`` columns come along as they are (null stays null). Texts within the limit, null, empty and blank ones give no row; an
+    empty table gives none; rows with the same text or id are split alike, each with numbers of its own; null ids are ids; other
+    columns of ``df`` are ignored, whatever their names. The pieces of texts of several ranges are cut once and written to the shared folder.
     """
     if not 0 <= overlap < max_chars:
         raise ValueError("overlap must be at least 0 and less than max_chars")
     keep = [id_col, *carry]
     left, right = 4 * (overlap + 2), 4 * (max_chars - overlap) + 64
     trimmed = df.select(*keep, F.expr(f"trim(BOTH ' \\t\\r\\n' FROM `{text_col}`)").alias("_t")).where(F.length("_t") > max_chars)
-    sized = trimmed.withColumn("_b", F.col("_t").cast("binary")).withColumn("n_bytes", F.octet_length("_b").cast("long")).drop("_t")
+    sized = trimmed.withColumn("_b", F.col("_t").cast("binary")).withColumn("n_bytes", F.octet_length("_b").cast("long")).drop("_t").withColumn("_row", F.monotonically_increasing_id())
     ranges = sized.withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / range_bytes))))
     lo = F.greatest(F.lit(0), F.col("range_no") * range_bytes - left)
     hi = F.least(F.col("n_bytes"), (F.col("range_no") + 1) * range_bytes + right)
-    raw = ranges.select(*keep, "range_no", "n_bytes", F.substring(F.col("_b"), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("raw"))
+    raw = ranges.select(*keep, "_row", "range_no", "n_bytes", F.substring(F.col("_b"), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("raw"))
     types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "n_bytes long", PIECE])
-    cols = [*keep, "n_bytes"]
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "_row long", "n_bytes long", PIECE])
+    cols = [*keep, "_row", "n_bytes"]
 
     def pieces(part: DataFrame) -> DataFrame:
         return part.mapInArrow(lambda it: _in_ranges(it, max_chars, overlap, range_bytes, cols), schema)
 
     several = F.col("n_bytes") > range_bytes
-    return _finish(pieces(raw.where(~several)), pieces(raw.where(several)), [id_col], keep)
+    cut = Scratch(df.sparkSession, "pieces").table(pieces(raw.where(several)))
+    return _finish(pieces(raw.where(~several)), cut, "_row", keep)
 
 
 def split_files(spark: SparkSession, root: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -219,4 +232,5 @@ def split_files(spark: SparkSession, root: str, max_chars: int = MAX_CHARS, over
         return part.mapInArrow(lambda it: _in_ranges(it, max_chars, overlap, range_bytes, ["path", "n_bytes"], read), f"path string, n_bytes long, {PIECE}")
 
     several = F.col("n_bytes") > range_bytes
-    return _finish(pieces(spread.where(~several)), pieces(spread.where(several)), ["path"], ["path"])
+    cut = Scratch(spark, "pieces").table(pieces(spread.where(several)))
+    return _finish(pieces(spread.where(~several)), cut, "path", ["path"])

@@ -47,6 +47,27 @@ def test_best_cut_prefers_paragraph_then_line_then_sentence_then_word():
     assert best_cut("abcdéfgh", 0, 5) == 4
 
 
+def test_no_hard_cut_where_the_window_has_a_boundary():
+    text = "word " * 180 + "x" * 1500
+    got = in_ranges(text, 2000, 200, 1 << 16)
+    check(got, text, 2000, 200)
+    assert [b for _, b, _ in got] == [900, 2400]
+    assert best_cut("a b" + "c" * 20, 11, 22) == 2 and best_cut("a. b c" + "d" * 20, 12, 22) == 3
+
+
+def test_blocks_of_ranges_and_repeated_ids(spark, monkeypatch):
+    from marginalia.llm import split
+
+    monkeypatch.setattr(split, "RANGES_PER_BLOCK", 3)
+    text = "A sentence here. " * 3000 + "x"
+    df = spark.createDataFrame([(1, "h", text), (1, "h", text + "y"), (None, None, text)], TEXT)
+    got = split_texts(df, range_bytes=2048).collect()
+    alone = sorted((r.char_start, r.char_end, r.text) for r in got if r.chunk_id is None)
+    check(alone, text, 2000, 200)
+    numbers = sorted(r.piece_no for r in got if r.chunk_id == 1)
+    assert numbers == sorted(2 * list(range(len(alone))))
+
+
 def test_split_texts(spark):
     rng = random.Random(3)
     long = "  " + "".join(rng.choice(["word ", "Satz. ", "\n", "\n\n", "語語", "é"]) for _ in range(60_000)) + "x\r\n"
