@@ -23,7 +23,8 @@ from marginalia.llm.words import words
 
 WINDOW = 15
 SHARD_WORDS = 1 << 20
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 23
+PATTERNS = 1 << 18
 SAMPLE = 16
 _END, _GAP, _FIRST = 0, 1, 2
 
@@ -127,21 +128,28 @@ class _Numbers(dict):
 
 @dataclass
 class Block:
-    """Evaluation items of at most ``BLOCK_WORDS`` words (or one item): the numbers of their words and all windows."""
+    """Evaluation items of at most ``BLOCK_WORDS`` words (or one item): their words by number, one item after the other."""
 
     numbers: dict[str, int]
-    patterns: np.ndarray
-    owners: list
+    items: list
+    words: np.ndarray
+    starts: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[object, list[str]]], window: int) -> Block:
+    def of(cls, items: list[tuple[object, list[str]]]) -> Block:
         numbers: dict[str, int] = {}
-        patterns, owners = [], []
-        for item, own in items:
-            ids = np.array([numbers.setdefault(w, _FIRST + len(numbers)) for w in own], np.int32)
-            patterns.append(np.lib.stride_tricks.sliding_window_view(ids, window))
-            owners += [item] * (len(own) - window + 1)
-        return cls(numbers, np.concatenate(patterns), owners)
+        ids = [np.array([numbers.setdefault(w, _FIRST + len(numbers)) for w in own], np.int32) for _, own in items]
+        return cls(numbers, [item for item, _ in items], np.concatenate(ids), np.cumsum([0] + [len(x) for x in ids]))
+
+    def patterns(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All windows of the items and the number of the item of each, some at a time."""
+        every = np.lib.stride_tricks.sliding_window_view(self.words, window)
+        for at in range(0, len(every), PATTERNS):
+            begin = np.arange(at, min(at + PATTERNS, len(every)))
+            owner = np.searchsorted(self.starts, begin, "right") - 1
+            inside = begin + window <= self.starts[owner + 1]
+            if inside.any():
+                yield every[begin[inside]], owner[inside]
 
 
 def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Block]:
@@ -151,12 +159,12 @@ def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Block]:
         if len(own) < window or item is None:
             continue
         if held and size + len(own) > block_words:
-            yield Block.of(held, window)
+            yield Block.of(held)
             held, size = [], 0
         held.append((item, own))
         size += len(own)
     if held:
-        yield Block.of(held, window)
+        yield Block.of(held)
 
 
 def _stretches(ids: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -165,59 +173,71 @@ def _stretches(ids: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= window]
 
 
-def _search_shard(parts: list[np.ndarray], where: list[tuple[int, int]], block: Block, window: int) -> list[tuple[int, int, int, int]]:
-    """Merged spans (document's number, item's number, first word, end) in one shard of stretches."""
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Spans (document, item, first word, end) of which those of one document and item that overlap or touch are one."""
+    doc, item, begin, end = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))].T
+    other = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+    # Ends so far within a document and item: shifted by their number, so that one running maximum serves all.
+    group = np.cumsum(other)
+    reach = np.maximum.accumulate(end + group * (end.max() + 1)) - group * (end.max() + 1)
+    heads = np.flatnonzero(other | np.concatenate(([True], begin[1:] > reach[:-1])))
+    tails = np.concatenate((heads[1:], [len(doc)])) - 1
+    return np.stack((doc[heads], item[heads], begin[heads], reach[tails]), axis=1)
+
+
+def _search_shard(parts: list[np.ndarray], where: list[tuple[int, int]], block: Block, window: int) -> np.ndarray:
+    """Spans (document's number, item's number, first word, end) in one shard of stretches."""
     gap = np.array([_GAP], np.int32)
     text = np.concatenate([x for p in parts for x in (p, gap)] + [np.array([_END], np.int32)])
     starts = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
     index = FMIndex(text, _FIRST + len(block.numbers))
-    which, lo, hi = index.search(block.patterns)
-    if not len(which):
-        return []
-    n = hi - lo
-    rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    position, pattern = index.locate(rows), np.repeat(which, n)
-    part = np.searchsorted(starts, position, "right") - 1
     docs, first = np.array(where, np.int64).T
-    doc, begin = docs[part], first[part] + position - starts[part]
-    numbers = {x: i for i, x in enumerate(dict.fromkeys(block.owners))}
-    owner = np.array([numbers[x] for x in block.owners])[pattern]
-    order = np.lexsort((begin, owner, doc))
-    doc, owner, begin = doc[order], owner[order], begin[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (begin[1:] > begin[:-1] + window)))
-    heads = np.flatnonzero(new)
-    tails = np.concatenate((heads[1:], [len(new)])) - 1
-    return list(zip(doc[heads].tolist(), owner[heads].tolist(), begin[heads].tolist(), (begin[tails] + window).tolist(), strict=True))
+    found = [np.empty((0, 4), np.int64)]
+    for patterns, owner in block.patterns(window):
+        which, lo, hi = index.search(patterns)
+        n = hi - lo
+        rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        position = index.locate(rows)
+        part = np.searchsorted(starts, position, "right") - 1
+        begin = first[part] + position - starts[part]
+        found.append(np.stack((docs[part], owner[np.repeat(which, n)], begin, begin + window), axis=1))
+    return np.concatenate(found)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], block: Block, window: int, shard_words: int, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Spans of the documents of a task. Those of a document that goes on in the next shard wait for it."""
     number = _Numbers(block.numbers).__getitem__
-    items = list(dict.fromkeys(block.owners))
-    ids, parts, where, size = [], [], [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if parts:
-            spans = _search_shard(parts, where, block, window)
-            cols = [[ids[d] for d, _, _, _ in spans], [items[i] for _, i, _, _ in spans], [a for *_, a, _ in spans], [b for *_, b in spans]]
+    ids: dict[int, object] = {}
+    parts, where, size, last = [], [], 0, -1
+    waiting = np.empty((0, 4), np.int64)
+
+    def flush(going_on: int) -> Iterator[pa.RecordBatch]:
+        nonlocal waiting, parts, where, size
+        spans = np.concatenate((waiting, _search_shard(parts, where, block, window))) if parts else waiting
+        parts, where, size, waiting = [], [], 0, spans[:0]
+        if len(spans):
+            spans = _merged(spans)
+            waiting, spans = spans[spans[:, 0] == going_on], spans[spans[:, 0] != going_on]
+            cols = [[ids[d] for d in spans[:, 0].tolist()], [block.items[i] for i in spans[:, 1].tolist()], spans[:, 2], spans[:, 3]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        for d in [d for d in ids if d != going_on]:
+            del ids[d]
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True):
+            last += 1
             own = np.fromiter(map(number, words(text)), np.int32)
-            ids.append(doc)
             for a, b in _stretches(own, window):
+                ids[last] = doc
                 while a < b:  # a stretch longer than a shard goes on in the next, with the words that a match can span
                     end = min(b, a + shard_words)
                     parts.append(own[a:end])
-                    where.append((len(ids) - 1, a))
+                    where.append((last, a))
                     size += end - a
                     a = b if end == b else end - window + 1
                     if size >= shard_words:
-                        yield from flush()
-                        parts, where, size = [], [], 0
-            if not parts:
-                ids = []
-    yield from flush()
+                        yield from flush(last)
+    yield from flush(-1)
 
 
 def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -225,10 +245,10 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
 
     A span is a longest run of matching windows in the document, counted in words from 0. All documents and items are
     compared. Items are the stated query set: they are taken in blocks of ``block_words`` words, each broadcast, so any
-    number of items works with bounded memory. Null, empty and blank texts and items of fewer than ``window`` words match
+    number of items works with bounded memory; one scan of the documents serves a whole block. Null, empty and blank texts and items of fewer than ``window`` words match
     nothing; repeated documents and items each give their rows; rows with a null item id are left out; other columns are
-    ignored; an empty table on either side gives none. A document longer than a shard is searched in overlapping parts, whose
-    spans may come out cut.
+    ignored; an empty table on either side gives none. A document longer than a shard is searched in overlapping parts, whose spans are
+    merged again.
     """
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, first_word long, end_word long"

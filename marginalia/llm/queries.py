@@ -81,7 +81,7 @@ _WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+'), lambda w:
 
 def _runs(table: str, key: str, n: int) -> str:
     """Rows (key, run): every run of ``n`` words of a text."""
-    return f"""SELECT {key}, array_to_string(ws[pos:pos + {n - 1}], ' ') AS run FROM (
+    return f"""SELECT {key}, pos, array_to_string(ws[pos:pos + {n - 1}], ' ') AS run FROM (
       SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS pos FROM (SELECT {key}, {_WORDS.format("text")} AS ws FROM {table} WHERE text IS NOT NULL))"""
 
 
@@ -101,5 +101,20 @@ WITH RECURSIVE p AS (SELECT DISTINCT trim(source) AS a, trim(target) AS b FROM g
 e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p),
 reach AS (SELECT DISTINCT u AS root, u AS node FROM e UNION SELECT root, v FROM reach JOIN e ON node = u WHERE root <= v)
 SELECT node AS note_path, min(root) AS group_path FROM reach GROUP BY node""",
+    "p7_spans": f"""
+WITH d AS ({_runs('documents', 'doc_id', 15)}), i AS (SELECT DISTINCT item_id, run FROM ({_runs('eval_items', 'item_id', 15)})),
+hits AS (SELECT DISTINCT doc_id, item_id, pos - 1 AS p FROM d JOIN i USING (run)),
+marked AS (SELECT *, CASE WHEN p <= lag(p) OVER w + 15 THEN 0 ELSE 1 END AS head FROM hits WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY p)),
+spans AS (SELECT *, sum(head) OVER (PARTITION BY doc_id, item_id ORDER BY p) AS span FROM marked)
+SELECT doc_id, item_id, min(p) AS first_word, max(p) + 15 AS end_word FROM spans GROUP BY doc_id, item_id, span""",
+    "p2_classes": f"""
+WITH long AS (SELECT chunk_id, array_to_string(ws, ' ') AS text FROM (SELECT chunk_id, {_WORDS.format("text")} AS ws FROM chunks WHERE text IS NOT NULL) WHERE len(ws) >= 30),
+classes AS (SELECT text, min(chunk_id) AS class_id FROM long GROUP BY text),
+heads AS (SELECT class_id AS chunk_id, text FROM classes),
+runs AS (SELECT DISTINCT chunk_id, hash(run) AS run FROM ({_runs("heads", "chunk_id", 3)})),
+sizes AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY chunk_id),
+shared AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id <> b.chunk_id GROUP BY 1, 2),
+near AS (SELECT a, count(*) AS n_links FROM shared JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE k >= 0.7 * (x.n + y.n - k) GROUP BY a)
+SELECT chunk_id, class_id, coalesce(n_links, 0) AS n_links FROM long JOIN classes USING (text) LEFT JOIN near ON a = class_id""",
     "p7_found": f"WITH d AS ({_runs('documents', 'doc_id', 15)}), i AS ({_runs('eval_items', 'item_id', 15)}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
 }

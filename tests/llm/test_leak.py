@@ -55,6 +55,9 @@ def test_spans_against_brute_force(spark):
     got = [tuple(r) for r in leaked_spans(a, b, window=n).collect()]
     assert len(got) == len(set(got)) and set(got) == spans(docs, items, n)
     pairs = {(d, i) for d, i, _, _ in got}
+    long = [(d, " ".join(t for _, t in docs[d : d + 12])) for d in range(0, 28, 6)]
+    cut = [tuple(r) for r in leaked_spans(spark.createDataFrame(long, DOC).coalesce(1), b, window=n, shard_words=60, block_words=50).collect()]
+    assert len(cut) == len(set(cut)) and set(cut) == spans(long, items, n)
     small = leaked_items(a, b, window=n, shard_words=60, block_words=50).collect()
     assert {tuple(r) for r in small} == pairs and len(small) == len(pairs)
 
