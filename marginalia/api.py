@@ -7,23 +7,26 @@ DataFrames. ``now`` is passed where time matters.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from datetime import datetime
 from statistics import mean, median, quantiles
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.config import Settings
 from marginalia.errors import InvalidRequest, NotFound
 from marginalia.functions import highlight as hl
 from marginalia.functions.coerce import FieldRule, validate
-from marginalia.functions.vectors import nearest
+from marginalia.functions.lineage import Scratch
+from marginalia.functions.strings import normalize_target
+from marginalia.functions.vectors import mean_vectors, nearest
 from marginalia.operators import duplicates, fts, graph, ivf, navigate, notelinks, search, sync
 from marginalia.providers import Embedder, HashingEmbedder, embed_column, embed_query
-from marginalia.sources.notefiles import NoteFiles
+from marginalia.sources.notefiles import NoteFiles, lacking_ids
 from marginalia.sources.notes import ingest, scan
 from marginalia.sources.store import Store
-from marginalia.streaming.changes import apply_to_store
+from marginalia.streaming.changes import apply_to_store, change_log, follow
 
 LONGEST_QUERY, MOST_TERMS = 10_000, 20
 SLOW_MS, LEAST_HIT_RATE, SAMPLES = 500.0, 0.7, 1000
@@ -39,9 +42,11 @@ def _p95(times: list[float]) -> float:
 
 
 class Notebook:
-    def __init__(self, spark: SparkSession, root: str, base: str, embedder: Embedder | None = None, settings: Settings = Settings(), rules: dict[str, FieldRule] | None = None):
-        self.spark, self.root, self.settings, self.rules = spark, root, settings, rules or {}
-        self.files, self.store, self.embedder = NoteFiles(root, settings), Store(spark, base), embedder or HashingEmbedder()
+    def __init__(self, spark: SparkSession, root: str, base: str, embedder: Embedder | None = None, settings: Settings = Settings(), rules: dict[str, FieldRule] | None = None, pdf_pages: Callable[[bytes], list[str]] | None = None, scorer: Callable[[Column, Column], Column] = search.lexical_score, log: str | None = None):
+        """``pdf_pages`` gives the text of each page of a PDF; ``scorer`` reranks by (query, text), see ``providers.model_scorer``; ``log`` is
+        the folder in which own writes of notes are logged as changes."""
+        self.spark, self.root, self.settings, self.rules, self.pdf_pages, self.scorer = spark, root, settings, rules or {}, pdf_pages, scorer
+        self.files, self.store, self.embedder = NoteFiles(root, settings, log), Store(spark, base), embedder or HashingEmbedder()
         self.samples: dict[str, list[float]] = {}
 
     # Tables
@@ -56,7 +61,7 @@ class Notebook:
         """All tables anew, published at once; with ``dry_run`` the notes per extension."""
         if dry_run:
             return scan(self.spark, self.root, self.settings).groupBy("extension").agg(F.count("*").alias("notes"))
-        c = ingest(self.spark, self.root, self.settings)
+        c = ingest(self.spark, self.root, self.settings, self.pdf_pages)
         vectors = embed_column(c.chunks, "chunk_id", "text", self.embedder)
         return self.store.publish({"chunks": c.chunks.join(vectors, "chunk_id"), "links": c.links, "aliases": c.aliases, "catalog": c.catalog})
 
@@ -73,12 +78,19 @@ class Notebook:
         self._apply(self.spark.createDataFrame([(path, False)], "path string, deleted boolean"))
 
     def _apply(self, changes: DataFrame) -> None:
-        apply_to_store(self.spark, self.store, self.root, self.settings)(changes, 0)
-        tables = self.store.load()
-        lacking = tables["chunks"].where("vector IS NULL")
-        made = embed_column(lacking, "chunk_id", "text", self.embedder)
-        whole = tables["chunks"].where("vector IS NOT NULL").unionByName(lacking.drop("vector").join(made, "chunk_id").select(tables["chunks"].columns))
-        self.store.publish(tables | {"chunks": whole}, self.store.current())
+        apply_to_store(self.spark, self.store, self.root, self.settings, self.embedder, self.pdf_pages)(changes, 0)
+
+    def follow_changes(self, folder: str, checkpoint: str, once: bool = False):
+        """Applies the changes that ``folder`` logs, batch by batch; what failed is logged by path beside the store."""
+        stream = change_log(self.spark, folder, self.settings)
+        return follow(stream, apply_to_store(self.spark, self.store, self.root, self.settings, self.embedder, self.pdf_pages), checkpoint, once)
+
+    def reconcile(self) -> DataFrame:
+        """Brings the tables in line with the files, whatever was logged: (path, action) of all that differed. For a schedule."""
+        found = sync.reconcile(scan(self.spark, self.root, self.settings), self.table("catalog"))
+        found = Scratch(self.spark, "reconcile").table(found)
+        self._apply(found.select("path", (F.col("action") == "delete").alias("deleted")))
+        return found
 
     def compact_index(self) -> str:
         return self.store.compact()
@@ -104,12 +116,14 @@ class Notebook:
     def _answer(self, ranked: DataFrame, rows: DataFrame, query: str, k: int, exclude: list[str] | None = None) -> DataFrame:
         whole = ranked.join(rows.select("chunk_id", *PUBLIC), F.col("id") == F.col("chunk_id")).withColumn("query", F.lit(query))
         whole = whole.where(navigate.without_terms(exclude)) if exclude else whole
-        best = search.rerank(whole, k)
+        best = search.rerank(whole, k, self.scorer)
         return search.formatted(best, reranked="rerank_score").orderBy("position").select("position", *PUBLIC, "score")
 
-    def _timed(self, name: str, run):
+    def _timed(self, name: str, run: Callable[[], DataFrame]) -> DataFrame:
+        """The answer, computed and timed: at most a hundred rows, since every search has a bound on ``top_k``."""
         start = time.perf_counter()
-        out = run()
+        answer = run()
+        out = self.spark.createDataFrame(answer.collect(), answer.schema)
         self.samples[name] = [*self.samples.get(name, []), (time.perf_counter() - start) * 1000][-SAMPLES:]
         return out
 
@@ -121,7 +135,7 @@ class Notebook:
         q, k, rows = self._query(query), clamp(top_k, 1, 100), self.table("chunks")
         n = search.candidate_count(k)
         asked = self.spark.createDataFrame([(0, q)], "query_id long, query string")
-        fused = search.fuse([self._near(rows, q, n), fts.bm25(rows, asked, "chunk_id", top_k=n)], n)
+        fused = search.fuse([self._near(rows, q, n), fts.bm25(rows, asked, "chunk_id", top_k=n, without=fts.stop_words(self.settings.language) if self.settings.language else ())], n)
         return self._timed("search_vault_hybrid", lambda: self._answer(fused, rows, q, k))
 
     def search_by_folder(self, query: str, folder: str, top_k: int = 10) -> DataFrame:
@@ -138,7 +152,10 @@ class Notebook:
         return out.withColumn("text", hl.highlight(F.col("text"), q, *([highlight] if isinstance(highlight, str) else highlight))) if highlight else out
 
     def find_similar_notes(self, path: str, top_k: int = 5) -> DataFrame:
-        k, rows = clamp(top_k, 1, 20), self.table("chunks").withColumn("note_id", F.xxhash64("note_path"))
+        return self._similar(path, clamp(top_k, 1, 20))
+
+    def _similar(self, path: str, k: int) -> DataFrame:
+        rows = self.table("chunks").withColumn("note_id", F.xxhash64("note_path"))
         own = rows.where(F.col("note_path") == path).select("note_id").distinct()
         if own.isEmpty():
             raise NotFound(path)
@@ -151,9 +168,6 @@ class Notebook:
         rows = self.table("chunks")
         rows = rows.where(navigate.in_folder("folder", folder)) if folder else rows
         ids = rows.select("note_path").distinct().repartitionByRange("note_path").sortWithinPartitions("note_path").withColumn("note_id", F.monotonically_increasing_id())
-        from marginalia.functions.lineage import Scratch
-        from marginalia.functions.vectors import mean_vectors
-
         ids = Scratch(self.spark, "notes").table(ids)
         means = mean_vectors(rows.join(ids, "note_path"), "note_id", "vector")
         pairs = duplicates.similar_pairs(means, "note_id", "mean", min(0.99, max(0.5, threshold)))
@@ -170,8 +184,14 @@ class Notebook:
         one = self._catalog().where(F.col("path") == path)
         return notelinks.backlinks(self.table("links"), one).orderBy("from_note_path")
 
-    def get_outlinks(self, path: str) -> DataFrame:
-        return self.table("links").where(F.col("from_note_path") == path).orderBy("link_type", "link_target")
+    def get_outlinks(self, path: str) -> tuple[DataFrame, DataFrame]:
+        """A note's links by kind, (kind, target, resolved, resolved_path, alias, heading, block_ref), and one row with the number of
+        each kind, of all, and of broken ones, in which embeds do not count."""
+        own = self.table("links").where(F.col("from_note_path") == path)
+        path_of = F.when(F.col("is_resolved") & (F.col("to_note_path") != ""), F.col("to_note_path"))
+        rows = own.select(F.col("link_type").alias("kind"), F.col("link_target").alias("target"), F.col("is_resolved").alias("resolved"), path_of.alias("resolved_path"), "alias", "heading", "block_ref")
+        counts = notelinks.outlink_counts(own).withColumn("total", F.col("wikilinks") + F.col("markdown_links") + F.col("embeds") + F.col("external"))
+        return rows.orderBy("kind", "target"), counts
 
     def find_broken_links(self, folder: str | None = None, limit: int = 100) -> DataFrame:
         return notelinks.broken_by_note(self.table("links"), folder, clamp(limit, 1, 500))
@@ -185,22 +205,31 @@ class Notebook:
         return notelinks.link_totals(self.table("links")), notelinks.link_rankings(self.table("links"), clamp(limit, 1, 200))
 
     def graph_data(self, folder: str | None = None, include_orphans: bool = False) -> tuple[DataFrame, DataFrame]:
-        nodes, edges = graph.node_degrees(self.table("links")), graph.note_edges(self.table("links"), folder)
+        """Nodes and edges of the links out of ``folder``, if one is given, else of all."""
+        links = self.table("links")
+        links = links.where(F.col("from_note_path").startswith(folder.strip("/") + "/")) if folder else links
+        nodes, edges = graph.node_degrees(links), graph.note_edges(links)
         if include_orphans:
-            lone = graph.unlinked_notes(self.table("links"), self._catalog())
+            lone = graph.unlinked_notes(links, self._catalog())
             nodes = nodes.unionByName(lone.select("path", F.col("path").alias("label"), F.lit(0).cast("long").alias("outlinks"), F.lit(0).cast("long").alias("backlinks")))
         return nodes, edges
 
     def suggest_links(self, path: str, limit: int = 10, min_similarity: float = 0.7) -> DataFrame:
-        """Similar notes that the note does not link to yet."""
-        near = self.find_similar_notes(path, 20).where(F.col("score") >= min_similarity)
-        own = self.table("links").where(F.col("from_note_path") == path)
-        unlinked = near.join(own.select(F.col("to_note_path").alias("note_path")), "note_path", "left_anti")
-        return unlinked.orderBy(F.desc("score"), "note_path").limit(clamp(limit, 1, 50))
+        """Notes among the most similar (three times ``limit``) that the note does not link to yet, by path or by name."""
+        k = clamp(limit, 1, 50)
+        near = self._similar(path, 3 * k).where(F.col("score") >= min_similarity)
+        own = self.table("links").where((F.col("from_note_path") == path) & (F.col("link_type") != "external"))
+        linked = own.select(F.explode(F.array("to_note_path", "link_target_normalized")).alias("name")).where("name <> ''").distinct()
+        by_path = near.join(linked, F.col("note_path") == F.col("name"), "left_anti")
+        by_name = by_path.join(linked, normalize_target(F.col("note_path")) == F.col("name"), "left_anti")
+        return by_name.orderBy(F.desc("score"), "note_path").limit(k)
 
     def find_link_clusters(self, min_cluster_size: int = 3, folder: str | None = None) -> DataFrame:
-        found = graph.link_clusters(graph.note_edges(self.table("links"), folder), clamp(min_cluster_size, 2, 100))
-        return found.orderBy(F.desc("size"), "component").limit(20)
+        """The 20 largest clusters with their first 20 notes; see ``graph.cluster_members``."""
+        links = self.table("links")
+        found = graph.cluster_members(graph.note_edges(links, folder), clamp(min_cluster_size, 2, 100))
+        titles = graph.node_degrees(links).select(F.col("path").alias("node"), "label")
+        return found.join(titles, "node", "left").orderBy(F.desc("size"), "component", "position")
 
     def find_bridge_notes(self, limit: int = 20, folder: str | None = None) -> DataFrame:
         return graph.bridge_notes(graph.note_edges(self.table("links"), folder)).orderBy(F.desc("score"), "node").limit(clamp(limit, 1, 100))
@@ -276,8 +305,11 @@ class Notebook:
     def move_note(self, from_path: str, to_path: str) -> None:
         self.files.move(from_path, to_path)
 
-    def generate_missing_ids(self, folder: str = "", dry_run: bool = True) -> list[str]:
-        return self.files.generate_missing_ids(folder, dry_run)
+    def generate_missing_ids(self, folder: str = "", dry_run: bool = True) -> DataFrame:
+        """Markdown notes without an id, as (path); unless ``dry_run``, each gets one. Files are read and written by the tasks."""
+        notes = scan(self.spark, self.root, self.settings).where("extension = '.md'")
+        notes = notes.where(navigate.in_folder("folder", folder)) if folder else notes
+        return Scratch(self.spark, "ids").table(lacking_ids(notes, self.root, self.settings, not dry_run))
 
     def validate_frontmatter(self, path: str | None = None, frontmatter: dict | None = None) -> DataFrame:
         if (path is None) == (frontmatter is None):
@@ -294,9 +326,10 @@ class Notebook:
         return lacking.select("path", "frontmatter").orderBy("path").limit(clamp(limit, 1, 1000)).mapInPandas(fill, "path string, frontmatter map<string,string>")
 
     def enrich_frontmatter_status(self, query_id: str | None = None) -> list[dict]:
-        """Enrichment runs as ordinary jobs; what runs now is what Spark's status tracker knows."""
+        """The jobs that Spark's status tracker knows: of the job group ``query_id``, running or done, or all that run now."""
         tracker = self.spark.sparkContext.statusTracker()
-        return [{"job_id": j, "stages": list(tracker.getJobInfo(j).stageIds)} for j in tracker.getActiveJobsIds() if tracker.getJobInfo(j)]
+        ids = tracker.getActiveJobsIds() if query_id is None else tracker.getJobIdsForGroup(query_id)
+        return [{"job_id": j, "status": info.status, "stages": list(info.stageIds)} for j in sorted(ids) if (info := tracker.getJobInfo(j))]
 
     # Resources
 

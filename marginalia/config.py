@@ -11,7 +11,8 @@ IGNORED_FOLDERS = (".obsidian", ".smart-env", ".trash", ".git")
 
 @dataclass(frozen=True)
 class Settings:
-    """``chunk_chars`` and ``overlap_chars`` size the passages, ``header_levels`` are the heading depths that cut a note."""
+    """``chunk_chars`` and ``overlap_chars`` size the passages, ``header_levels`` are the heading depths that cut a note,
+    ``language`` names the stop-words that text search leaves out."""
 
     extensions: tuple[str, ...] = NOTE_EXTENSIONS
     ignored_folders: tuple[str, ...] = IGNORED_FOLDERS
@@ -19,6 +20,7 @@ class Settings:
     overlap_chars: int = 200
     header_levels: int = 4
     separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")
+    language: str | None = None
     debounce_s: float = 2.0
     breaker_attempts: int = 3
     breaker_window_s: float = 60.0

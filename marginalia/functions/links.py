@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.strings import normalize_target, strip
+from marginalia.functions.strings import normalize_target, stem, strip
 
 # Link syntax and the schemes of external links.
 WIKILINK = r"(?<!!)\[\[([^\]]+)\]\]"
@@ -61,10 +61,11 @@ def link_context(text: Column, raw: Column, window: int = CONTEXT_CHARS) -> Colu
 
 
 def matches_note(target: Column, path: Column) -> Column:
-    """Whether a link target names a note: by its stem, whole path or path suffix, hyphens standing for spaces too."""
-    wanted, bare = F.lower(target), F.regexp_replace(F.lower(path), r"\.[^./]+$", "")
-    spaced = F.replace(wanted, F.lit("-"), F.lit(" "))
-    return (bare == wanted) | bare.endswith(F.concat(F.lit("/"), wanted)) | (F.lower(path) == wanted) | (bare == spaced) | bare.endswith(F.concat(F.lit("/"), spaced))
+    """Whether a link target names a note: normalized, it is the note's stem, its path, or the end of its path after a slash, this also
+    without the target's hyphens."""
+    wanted, whole = normalize_target(target), normalize_target(path)
+    ends = lambda name: whole.endswith(F.concat(F.lit("/"), name))
+    return (wanted == normalize_target(stem(path))) | (wanted == whole) | ends(wanted) | ends(F.replace(wanted, F.lit("-"), F.lit("")))
 
 
 def extract_links(notes: DataFrame, id_col: str, text_col: str = "text", context: bool = True) -> DataFrame:

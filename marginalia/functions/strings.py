@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What counts as white space (Unicode White_Space plus the four ASCII separators U+001C..U+001F).
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,23 +48,32 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), "(?s)(?<=.)\\.[^.]*$", "")
 
 
+# Where a path of a machine begins: a drive, a home folder, or a slash with a folder after it.
+_PATH_BEGINS = r"(?:[A-Za-z]:\\|~[/\\]|/(?=[^/:\s]+/))"
+
+
 def redact_paths(c: Column) -> Column:
-    """``c`` on one line, with file URIs, absolute, home and drive paths replaced by a mark."""
-    mark = "[REDACTED_PATH]"
-    out = F.regexp_replace(c, r"[\r\n]", " ")
-    quoted = r"(['\"])(?:file://|/|~[/\\]|[a-zA-Z]:\\)[^'\"]+\1"
-    bare = (r"(?i)file://\S+", r"(?i)(?<!\w)[a-z]:\\[^:,;)\]}]*", r"(?<!\w)~[/\\][^:,;)\]}]*", r"(?<![\w.])/(?:[^:/]+/)+[^:,;)\]}]*")
-    out = F.regexp_replace(out, quoted, f"$1{mark}$1")
-    for pattern in bare:
-        out = F.regexp_replace(out, pattern, mark)
-    return out
-
-
-def json_object_in(c: Column) -> Column:
-    """The first JSON object in free text, as text: all of it, else a fenced block, else from the first brace to the last; null
-    where none of them is one."""
-    text = strip(c)
-    span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    sound = lambda t: F.when(F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(t)), F.lit("OBJECT")), F.lit(False)), t)
-    return F.coalesce(sound(text), sound(fenced), sound(span))
+    """``c`` on one line, with the paths of machines replaced by a mark; relative paths and web addresses stay.
+
+    A path between quotes reaches to the closing one, a file URI to the next blank. Any other reaches to the next comma, colon, semicolon, quote or closing
+    bracket, as folders may have blanks in their names.
+    """
+    quoted, bare = rf"(?<=['\"])(?:{_PATH_BEGINS}|(?i:file)://)[^'\"]+", rf"(?<![\w./:]){_PATH_BEGINS}[^'\",:;)\]}}]*"
+    return F.regexp_replace(F.translate(c, "\r\n", "  "), rf"{quoted}|(?i:file)://\S+|{bare}", "[REDACTED_PATH]")
+
+
+def _first_object(text: str | None) -> str | None:
+    text = (text or "").strip()
+    decoder = json.JSONDecoder()
+    for at in (m.start() for m in re.finditer(r"\{", text)):
+        try:
+            return text[at : decoder.raw_decode(text, at)[1]]
+        except ValueError:
+            continue
+    return None
+
+
+@F.pandas_udf(StringType())
+def json_object_in(texts: pd.Series) -> pd.Series:
+    """The first JSON object in free text, as text: the one that begins at the earliest brace at which one does; null where none does."""
+    return texts.map(_first_object)

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "l2", "dot")
 QUERY_BLOCK = 4096
 QUERY_BYTES = 64 << 20
+PARTS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,11 +43,48 @@ def score(d: Column, precision: int = 4) -> Column:
     return F.round(1 / (1 + d), precision)
 
 
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group in a batch the sum of its vectors and their number, with the batch's part."""
+    context = TaskContext.get()
+    at = context.partitionId() if context else 0
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            groups = batch.column(0).dictionary_encode()
+            codes = groups.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            present, starts = np.unique(codes[order], return_index=True)
+            sums = np.add.reduceat(x[order], starts, axis=0)
+            ends = np.arange(0, sums.size + 1, x.shape[1], dtype=np.int32)
+            n = np.diff(np.append(starts, len(codes)))
+            part = pa.array(np.full(len(present), at % PARTS, np.int32))
+            yield pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(present)), part, pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel())), pa.array(n)], names=["g", "part", "s", "n"])
+            at += 1
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of all sums of a group, which are added batch by batch."""
+    total, n, first = 0.0, 0, None
+    for b in batches:
+        if b.num_rows:
+            first = b.slice(0, 1) if first is None else first
+            total = total + b.column("s").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).sum(axis=0)
+            n += int(b.column("n").to_numpy().sum())
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([first.column("g"), first.column("part"), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], names=["g", "part", "s", "n"])
+
+
 def mean_vectors(rows: DataFrame, by: str, vector: str) -> DataFrame:
-    """The mean vector of each group as (``by``, mean), from partial sums per position: no group is collected."""
-    cells = rows.select(by, F.posexplode(vector).alias("i", "x"))
-    means = cells.groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("mean"))
+    """The mean vector of each group as (``by``, mean). Null groups and vectors are left out.
+
+    A task adds up each batch's vectors by group, so what is shuffled is one sum per group and batch. Sums meet in ``PARTS`` parts
+    of a group first, then these: a group of any size is spread.
+    """
+    kind = dict(rows.dtypes)[by]
+    own = rows.select(F.col(by).alias("g"), F.col(vector).alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
+    schema = f"g {kind}, part int, s array<double>, n long"
+    sums = own.mapInArrow(_partial_sums, schema).groupBy("g", "part").applyInArrow(_added, schema).groupBy("g").applyInArrow(_added, schema)
+    return sums.select(F.col("g").alias(by), F.transform("s", lambda x: x / F.col("n")).alias("mean"))
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -57,10 +96,10 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
 
 
-def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stated queries (query_id, vector) in blocks of at most ``QUERY_BLOCK`` vectors and ``QUERY_BYTES``."""
+def query_blocks(queries: DataFrame, key: str = "query_id") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The stated queries (``key``, vector) in blocks of at most ``QUERY_BLOCK`` vectors and ``QUERY_BYTES``."""
     ids, vectors, size = [], [], 0
-    for i, v in queries.select("query_id", "vector").toLocalIterator():
+    for i, v in queries.select(key, "vector").toLocalIterator():
         if v is None:
             continue
         ids.append(i)
@@ -77,8 +116,9 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, top_k
     """The ``top_k`` nearest rows of every query as (query_id, id, distance, rank), exactly; ties by id.
 
     Queries (query_id, vector) go out in blocks; a task multiplies a block with a batch of rows and keeps ``top_k`` per query, so
-    what is shuffled is at most ``top_k`` rows per query and batch. Rows whose column ``skip`` equals the query's id are passed
-    over: the id column itself leaves out the query's own row, a group column its own group. Null vectors are left out.
+    what is shuffled is at most ``top_k`` rows per query and batch. Rows whose number in
+    column ``skip`` equals the query's column ``own``, or its id where there is none, are passed over: the id column itself leaves
+    out the query's own row, a group column its own group. Null vectors are left out.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -86,11 +126,11 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, top_k
     own_group = F.col(skip).cast("long") if skip else F.lit(None).cast("long")
     table = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), own_group.alias("g")).where(F.col("v").isNotNull())
     found = None
-    for ids, vectors in query_blocks(queries):
-        shared = sc.broadcast((ids, vectors))
+    for keys, vectors in query_blocks(queries.select(F.struct("query_id", F.col("own" if "own" in queries.columns else "query_id").cast("long").alias("own")).alias("key"), "vector"), "key"):
+        shared = sc.broadcast((keys[:, 0], keys[:, 1], vectors))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
+            q_ids, q_own, q = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -98,7 +138,7 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, top_k
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 d = np.round(distances(q, x, metric), 9)
                 if skip:
-                    d[q_ids[:, None] == batch.column(2).fill_null(-(1 << 62)).to_numpy()[None, :]] = np.inf
+                    d[q_own[:, None] == batch.column(2).fill_null(-(1 << 62)).to_numpy()[None, :]] = np.inf
                 k = min(top_k, len(own))
                 order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
                 flat = np.take_along_axis(d, order, 1).ravel()

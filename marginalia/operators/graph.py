@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.lineage import Scratch
-from marginalia.functions.strings import is_blank, stem
+from marginalia.functions.strings import is_blank, present, stem
 from marginalia.operators.skew import hot_bound, join_unique
 
 SIBLING_BUCKETS = 64
@@ -29,14 +29,15 @@ def note_edges(links: DataFrame, folder: str | None = None) -> DataFrame:
 def node_degrees(links: DataFrame) -> DataFrame:
     """(path, label, outlinks, backlinks): internal links out of each note, resolved or not, and resolved ones into it.
 
-    Occurrences count, not distinct edges. The label is the stem with spaces for hyphens and underscores, capitalised.
+    Occurrences count, not distinct edges. The label is the least title that the note's links give, else the stem with spaces for hyphens and
+    underscores, capitalised.
     """
     inner = links.where(F.coalesce(F.col("link_type") != "external", F.lit(True)))
-    out = inner.where(~is_blank(F.col("from_note_path"))).groupBy(F.col("from_note_path").alias("path")).agg(F.count("*").alias("outlinks"))
+    out = inner.where(~is_blank(F.col("from_note_path"))).groupBy(F.col("from_note_path").alias("path")).agg(F.count("*").alias("outlinks"), F.min(present(F.col("from_note_title"))).alias("title"))
     into = inner.where(F.coalesce("is_resolved", F.lit(False)) & ~is_blank(F.col("to_note_path"))).groupBy(F.col("to_note_path").alias("path")).agg(F.count("*").alias("backlinks"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     label = F.initcap(F.translate(stem(F.col("path")), "-_", "  "))
-    return out.join(into, "path", "full_outer").select("path", label.alias("label"), zero("outlinks"), zero("backlinks"))
+    return out.join(into, "path", "full_outer").select("path", F.coalesce("title", label).alias("label"), zero("outlinks"), zero("backlinks"))
 
 
 def unlinked_notes(links: DataFrame, catalog: DataFrame) -> DataFrame:

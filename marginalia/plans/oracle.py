@@ -101,19 +101,45 @@ _NO_BRACKET = r"\[\[[^\]]+\]\]"
 
 ORACLE: dict[str, str] = {
     "p4_found": ORPHANS,
-    "p4_report": f"WITH o AS ({ORPHANS}) SELECT 1",
+    "p4_report": f"""
+WITH o AS ({ORPHANS}),
+gone AS (SELECT row_id FROM o WHERE src_table = 'aliases'),
+named AS (SELECT alias_id, alias_normalized AS name FROM aliases WHERE NOT {_blank("alias_normalized")}),
+held AS (
+  SELECT name FROM named WHERE alias_id NOT IN (SELECT row_id FROM gone)
+  UNION SELECT {_normalized("path")} FROM note_catalog WHERE NOT {_blank("path")}
+  UNION SELECT {_normalized(_stem("path"))} FROM note_catalog WHERE NOT {_blank("path")}),
+lost AS (SELECT name FROM named WHERE alias_id IN (SELECT row_id FROM gone) AND name NOT IN (SELECT name FROM held)),
+inherited AS (
+  SELECT link_id, strftime(recorded_at, '%Y-%m') AS period_month FROM links
+  WHERE link_type IS DISTINCT FROM 'external' AND NOT ({_blank("to_note_path")} AND {_blank("link_target_normalized")})
+    AND (link_id IN (SELECT row_id FROM o WHERE ref_field = 'from_note_path') OR ({_blank("to_note_path")} AND link_target_normalized IN (SELECT name FROM lost)))
+    AND link_id NOT IN (SELECT row_id FROM o WHERE ref_field = 'target'))
+SELECT src_table, ref_field, period_month, 'direct' AS kind, reason, count(*) AS n_references FROM o GROUP BY src_table, ref_field, period_month, reason
+UNION ALL SELECT 'links', 'target', period_month, 'inherited', 'inherited', count(*) FROM inherited GROUP BY period_month""",
+    "duplicate_note_links": """
+WITH c AS (SELECT embedding AS e, min(vec_id) AS class_id FROM embeddings GROUP BY embedding),
+v AS (SELECT class_id, e::DOUBLE[] AS v FROM c),
+near AS (SELECT a.class_id, count(*) AS n_links FROM v a JOIN v b ON a.class_id <> b.class_id WHERE list_cosine_similarity(a.v, b.v) >= 0.4 GROUP BY a.class_id)
+SELECT vec_id, class_id, coalesce(n_links, 0) AS n_links FROM embeddings JOIN c ON embedding = e LEFT JOIN near USING (class_id)""",
+    "refused_attempts": """
+WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (
+  SELECT user_id, k, ts AS first, 1 AS used FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.k, CASE WHEN o.ts - r.first > INTERVAL 86400 SECOND THEN o.ts ELSE r.first END, CASE WHEN o.ts - r.first > INTERVAL 86400 SECOND THEN 1 ELSE r.used + 1 END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+SELECT user_id::VARCHAR AS path, count(*) AS attempts, count(*) FILTER (used > 3) AS refused FROM r GROUP BY user_id""",
     **{f"knn_{m}": _knn(m) for m in ("cosine", "l2", "dot")},
     "knn_other_labels": """
 WITH r AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-d AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(1 - list_cosine_similarity(q.v, r.v), 9) AS x FROM r q JOIN r ON q.vec_id % 100 = 0 AND r.label % 2 = 1 AND q.vec_id <> r.vec_id)
+d AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(1 - list_cosine_similarity(q.v, r.v), 9) AS x FROM r q JOIN r ON q.vec_id % 100 = 0 AND r.label <> q.label)
 SELECT query_id, id, round(x, 6) AS distance, rank, round(round(1 / (1 + x), 4), 3) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank FROM d) WHERE rank <= 5""",
     "mean_vectors_by_label": "SELECT label, i - 1 AS i, round(avg(embedding[i]::DOUBLE), 6) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i",
     "similar_labels": """
 WITH m AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
 d AS (SELECT m.label AS query_id, e.label AS other, vec_id, round(1 - list_cosine_similarity(m.v, e.embedding::DOUBLE[]), 9) AS x FROM m JOIN embeddings e ON m.label <> e.label),
-c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, vec_id) AS r FROM d),
-b AS (SELECT query_id, other, min(x) AS x FROM c WHERE r <= 15 GROUP BY query_id, other)
+b AS (SELECT query_id, other, min(x) AS x FROM d GROUP BY query_id, other)
 SELECT query_id, other, round(x, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, other) AS rank FROM b) WHERE rank <= 5""",
     "fts_terms": f"WITH {_TERMS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM inv GROUP BY term",
     "bm25_topk": f"WITH {_TERMS} SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10",
@@ -150,9 +176,9 @@ SELECT link_id, link_target, alias FROM t WHERE link_target <> ''""",
 WITH w AS (SELECT link_id, link_target AS i, split_part(link_target, '|', 1) AS a FROM links WHERE link_type = 'wikilink'),
 x AS (SELECT *, split_part(a, '^', 1) AS b FROM w), y AS (SELECT *, {_strip("split_part(b, '#', 1)")} AS t FROM x)
 SELECT link_id, CASE WHEN t <> '' THEN t ELSE i END AS target, nullif({_strip("i[length(a) + 2:]")}, '') AS alias, nullif({_strip("b[length(split_part(b, '#', 1)) + 2:]")}, '') AS heading, nullif({_strip("a[length(b) + 2:]")}, '') AS block_ref FROM y""",
-    "links_that_match_paths": r"""
-WITH w AS (SELECT link_id, lower(link_target) AS t, replace(lower(link_target), '-', ' ') AS s, lower(to_note_path) AS p, regexp_replace(lower(to_note_path), '\.[^./]+$', '') AS b FROM links WHERE to_note_path <> '')
-SELECT link_id, b = t OR suffix(b, '/' || t) OR p = t OR b = s OR suffix(b, '/' || s) AS matches FROM w""",
+    "links_that_match_paths": f"""
+WITH w AS (SELECT link_id, {_normalized("link_target")} AS t, {_normalized("to_note_path")} AS p, {_normalized(_stem("to_note_path"))} AS s FROM links WHERE to_note_path <> '')
+SELECT link_id, t = s OR t = p OR suffix(p, '/' || t) OR suffix(p, '/' || replace(t, '-', '')) AS matches FROM w""",
     "note_labels": f"SELECT DISTINCT path, {_stem('path')} AS stem FROM note_catalog WHERE NOT {_blank('path')}",
     "coalesced_changes": """
 WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -258,4 +284,12 @@ SELECT DISTINCT path FROM note_catalog WHERE deleted_at IS NULL AND NOT {_blank(
     "link_clusters": _clusters(_EDGES),
     "matched_clusters": _clusters("SELECT trim(source) AS source, trim(target) AS target FROM graph_edges WHERE trim(source) <> '' AND trim(target) <> ''"),
 }
-del ORACLE["p4_report"]
+_ASKED = "list_distinct(list_filter(regexp_split_to_array(lower(q.title), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''))"
+ORACLE["reranked"] = f"""
+WITH {_TERMS},
+pool AS (SELECT query_id, id, rank, {_ASKED} AS asked, regexp_split_to_array(lower(coalesce(d.text, '')), '[^\\p{{L}}\\p{{N}}]+') AS own FROM ranked JOIN documents q ON q.doc_id = query_id JOIN documents d ON d.doc_id = id WHERE rank <= 10),
+scores AS (SELECT query_id, id, rank, CASE WHEN len(asked) > 0 THEN round(len(list_intersect(asked, own)) / len(asked), 4) ELSE 0 END AS rerank_score FROM pool)
+SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS position FROM scores"""
+ORACLE["orphan_totals"] = f"""
+WITH o AS ({ORACLE["orphan_notes"]}), n AS (SELECT count(DISTINCT path) AS notes FROM note_catalog WHERE extension = '.md' AND NOT {_blank("path")})
+SELECT (SELECT count(*) FROM o) AS orphans, notes, round((SELECT count(*) FROM o) / greatest(notes, 1) * 100, 1) AS percentage FROM n"""

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 class Embedder(Protocol):
@@ -21,6 +23,22 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+class Reranker(Protocol):
+    """``score`` gives one number per pair of query and text. It is sent to the tasks, like an embedder."""
+
+    def score(self, queries: list[str], texts: list[str]) -> np.ndarray: ...
+
+
+def model_scorer(model: Reranker) -> Callable[[Column, Column], Column]:
+    """A scorer for ``search.rerank`` that asks a model, batch by batch."""
+
+    @F.pandas_udf(DoubleType())
+    def scored(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(model.score(queries.fillna("").tolist(), texts.fillna("").tolist()), np.float64))
+
+    return scored
+
+
 class HashingEmbedder:
     """Words and their halves of a pair hashed to signed dimensions, unit length; equal texts have equal vectors."""
 

@@ -1,15 +1,19 @@
-"""Changing single note files: atomic writes, soft deletes, moves. Driver-side; tables follow through the change stream."""
+"""Changing single note files: atomic writes, soft deletes, moves. Driver-side; tables follow through the change log that they write."""
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from pathlib import Path
 
+import pyarrow as pa
 import yaml
+from pyspark.sql import DataFrame
 
 from marginalia.config import Settings
 from marginalia.errors import InvalidRequest, NotFound
@@ -35,8 +39,20 @@ def dump_frontmatter(meta: dict, body: str) -> str:
 
 
 class NoteFiles:
-    def __init__(self, root: str, settings: Settings = Settings()):
-        self.root, self.settings = Path(root).resolve(), settings
+    """``log`` is a folder that takes a file of JSON lines per change, for ``streaming.changes.change_log``; none is written without it."""
+
+    def __init__(self, root: str, settings: Settings = Settings(), log: str | None = None):
+        self.root, self.settings, self.log = Path(root).resolve(), settings, Path(log) if log else None
+
+    def _changed(self, *changes: tuple[str, bool]) -> None:
+        """Logs (path, deleted) pairs; the file gets its name when it is whole."""
+        if self.log is None:
+            return
+        self.log.mkdir(parents=True, exist_ok=True)
+        now = datetime.now(timezone.utc).isoformat()
+        name = f"{time.time_ns()}-{uuid.uuid4().hex}.json"
+        (self.log / f".{name}").write_text("".join(json.dumps({"path": p, "deleted": d, "ts": now}) + "\n" for p, d in changes))
+        os.rename(self.log / f".{name}", self.log / name)
 
     def path(self, rel: str, must_exist: bool = False, kinds: tuple[str, ...] = (".md",)) -> Path:
         """The file of a relative path, which must stay inside the tree and out of hidden and ignored folders."""
@@ -83,6 +99,7 @@ class NoteFiles:
         except BaseException:
             Path(name).unlink(missing_ok=True)
             raise
+        self._changed((str(full.relative_to(self.root)), False))
 
     def create(self, rel: str, body: str, meta: dict | None = None) -> dict:
         meta = dict(meta or {})
@@ -117,6 +134,7 @@ class NoteFiles:
             if not to.exists():
                 to.parent.mkdir(parents=True, exist_ok=True)
                 os.rename(full, to)
+                self._changed((rel, True))
                 return str(to.relative_to(self.root))
         raise InvalidRequest("the trash holds too many notes of this name")
 
@@ -126,20 +144,28 @@ class NoteFiles:
             raise InvalidRequest("the new path has another extension or exists")
         b.parent.mkdir(parents=True, exist_ok=True)
         os.rename(a, b)
-
-    def notes(self, folder: str = "") -> Iterator[str]:
-        """Relative paths of the Markdown notes below a folder."""
-        base = self.root / folder
-        for at, folders, files in os.walk(base):
-            folders[:] = sorted(d for d in folders if not d.startswith(".") and d not in self.settings.ignored_folders)
-            for f in sorted(files):
-                if f.lower().endswith(".md") and not f.startswith("."):
-                    yield str((Path(at) / f).relative_to(self.root))
-
-    def generate_missing_ids(self, folder: str = "", dry_run: bool = True) -> list[str]:
-        """Notes without an id in their frontmatter; unless ``dry_run``, each gets one."""
-        lacking = [n for n in self.notes(folder) if not self.metadata(n).get("id")]
-        if not dry_run:
-            for n in lacking:
-                self.update_frontmatter(n, {"id": uuid7()})
-        return lacking
+        self._changed((rel, True), (to, False))
+
+
+def lacking_ids(notes: DataFrame, root: str, settings: Settings = Settings(), write: bool = False) -> DataFrame:
+    """Those of ``notes`` (path) whose frontmatter has no id, as (path); with ``write`` each gets one.
+
+    Tasks read the files' first bytes and write them, so ``root`` must be a folder that every executor mounts. A note that a lost task has
+    written already has an id and keeps it. Notes that cannot be read are passed over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = NoteFiles(root, settings)
+        for batch in batches:
+            lacking = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    if not files.metadata(path).get("id"):
+                        lacking.append(path)
+                        if write:
+                            files.update_frontmatter(path, {"id": uuid7()})
+                except (OSError, InvalidRequest, NotFound):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(lacking, pa.string())], names=["path"])
+
+    return notes.select("path").mapInArrow(run, "path string")

@@ -42,7 +42,7 @@ def coalesced(changes: DataFrame, gap_s: float = 2.0, watermark: str = "10 minut
     return burst.agg(F.max_by("deleted", "ts").alias("deleted"), F.max("ts").alias("ts"), F.count("*").alias("n")).select("path", "deleted", "ts", "n")
 
 
-def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, wait_ms: int) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         deleted, ts = state.get
         state.remove()
@@ -56,14 +56,19 @@ def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 last = (bool(deleted), at)
     if last is not None:
         state.update(last)
-    state.setTimeoutDuration(int(Settings().debounce_s * 1000))
+    state.setTimeoutDuration(wait_ms)
 
 
-def debounced(changes: DataFrame) -> DataFrame:
-    """The last change of each path once no other has come for the debounce time, by the clock of the cluster: every new change starts
+def debounced(changes: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The last change of each path once no other has come for ``settings.debounce_s``, by the clock of the cluster: every new change starts
     the wait anew."""
     own = changes.select("path", "deleted", F.col("ts").cast("timestamp").alias("ts"))
-    return own.groupBy("path").applyInPandasWithState(_hold, CHANGE, "deleted boolean, ts long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    wait_ms = int(settings.debounce_s * 1000)
+
+    def hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _hold(key, batches, state, wait_ms)
+
+    return own.groupBy("path").applyInPandasWithState(hold, CHANGE, "deleted boolean, ts long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def without_own_writes(changes: DataFrame, written: DataFrame) -> DataFrame:
@@ -123,20 +128,53 @@ def follow(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def apply_to_store(spark: SparkSession, store, root: str, settings: Settings = Settings()) -> Callable[[DataFrame, int], None]:
-    """The function for ``follow`` that reads the changed notes anew and replaces their rows in ``store``."""
-    from marginalia.sources.notes import resolved, scan, tables_of
+STATUS = "path string, status string, at timestamp"
+
+
+def statuses(spark: SparkSession, store) -> DataFrame:
+    """What became of each change that was applied, as (path, status, at): the parser's status, ``deleted``, ``refused``, or why a file
+    could not be read."""
+    return spark.read.schema(STATUS).parquet(f"{store.base}/status") if store.has("status") else spark.createDataFrame([], STATUS)
+
 
-    def relinked(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        open_ = tables["links"].withColumns({"to_note_path": F.when(F.col("link_type") == "external", F.col("to_note_path")).otherwise(""), "is_resolved": F.col("link_type") == "external"})
-        return tables | {"links": resolved(open_, tables["catalog"], tables["aliases"])}
+def apply_to_store(spark: SparkSession, store, root: str, settings: Settings = Settings(), embedder=None, pdf_pages=None) -> Callable[[DataFrame, int], None]:
+    """The function for ``follow`` that reads the changed notes, and no others, anew and replaces their rows in ``store``.
+
+    A generation is published once, vectors and resolved links included. A path that cannot be read keeps its rows and takes none of the
+    others with it; one that failed ``breaker_attempts`` times within ``breaker_window_s`` is refused until the window has passed. ``statuses`` has what became of each.
+    """
+    from marginalia.functions.lineage import Scratch, scratch_scope
+    from marginalia.providers import HashingEmbedder, embed_column
+    from marginalia.sources.notes import read_notes, resolved, tables_of
+
+    def relinked(links: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
+        external = F.col("link_type") == "external"
+        open_ = links.withColumns({"to_note_path": F.when(external, F.col("to_note_path")).otherwise(""), "is_resolved": external})
+        return resolved(open_, catalog, aliases)
 
     def apply(changes: DataFrame, n: int) -> None:
-        if changes.isEmpty():
+        with scratch_scope():
+            run(changes)
+
+    def run(changes: DataFrame) -> None:
+        disk = Scratch(spark, "changes")
+        own = disk.table(changes.select("path", "deleted"))
+        if own.isEmpty():
             return
-        files = scan(spark, root, settings, contents=True).join(changes.where("NOT deleted").select("path"), "path", "left_semi")
-        corpus = tables_of(files, settings)
-        changed = {"chunks": corpus.chunks, "links": corpus.links, "aliases": corpus.aliases, "catalog": corpus.catalog}
-        store.replace_notes(changed, changes.select("path"), relinked)
+        since = F.current_timestamp() - F.make_dt_interval(secs=F.lit(settings.breaker_window_s))
+        failed = statuses(spark, store).where(F.col("status").startswith("failed") & (F.col("at") > since)).groupBy("path").agg(F.count("*").alias("n"))
+        refused = disk.table(failed.where(F.col("n") >= settings.breaker_attempts).join(own, "path", "left_semi").select("path"))
+        files = disk.table(read_notes(own.where("NOT deleted").join(refused, "path", "left_anti"), root))
+        good = files.where("problem IS NULL").drop("problem")
+        corpus = tables_of(good, settings, pdf_pages)
+        chunks = corpus.chunks.join(embed_column(corpus.chunks, "chunk_id", "text", embedder or HashingEmbedder()), "chunk_id")
+        changed = {"chunks": disk.table(chunks), "links": disk.table(corpus.links), "aliases": corpus.aliases, "catalog": corpus.catalog}
+        gone = own.where("deleted").select("path").unionByName(files.where("problem = 'missing'").select("path"))
+        store.replace_notes(changed, gone, relinked)
+
+        unread = files.where("problem IS NOT NULL").select("path", F.when(F.col("problem") == "missing", "deleted").otherwise(F.concat(F.lit("failed: "), "problem")).alias("status"))
+        said = corpus.parsed.select("path", F.when(F.col("status_of_file") == "error", "failed: unreadable").otherwise(F.col("status_of_file")).alias("status"))
+        every = said.unionByName(unread).unionByName(own.where("deleted").select("path", F.lit("deleted").alias("status"))).unionByName(refused.select("path", F.lit("refused").alias("status")))
+        every.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{store.base}/status")
 
     return apply

@@ -38,7 +38,13 @@ def test_search(nb):
 
 def test_links_and_navigation(nb):
     assert {r.from_note_path for r in nb.get_backlinks("Welcome.md").collect()} == {"docs/manual.md", "docs/copy.md"}
-    assert {(r.link_target, r.to_note_path) for r in nb.get_outlinks("Welcome.md").collect()} == {("manual", "docs/manual.md"), ("lost", "")}
+    assert {(r.target, r.resolved_path) for r in nb.get_outlinks("Welcome.md")[0].collect()} == {("manual", "docs/manual.md"), ("lost", None)}
+    assert (lambda r: (r.wikilinks, r.total, r.broken))(nb.get_outlinks("Welcome.md")[1].first()) == (2, 2, 1)
+    nodes, edges = nb.graph_data("docs")
+    assert {r.path for r in nodes.collect()} == {"docs/manual.md", "docs/copy.md", "Welcome.md"} and {r.source for r in edges.collect()} == {"docs/manual.md", "docs/copy.md"}
+    assert nb.graph_data()[0].where("path = 'docs/manual.md'").first().label == "manual"
+    assert nb.suggest_links("docs/manual.md", 5, 0.0).where("note_path = 'Welcome.md'").count() == 0
+    assert [(r.node, r.position) for r in nb.find_link_clusters(2).collect()] == [("Welcome.md", 1), ("docs/copy.md", 2), ("docs/manual.md", 3)]
     assert [tuple(r)[:2] for r in nb.find_broken_links().collect()] == [("Welcome.md", 1)]
     assert [r.path for r in nb.find_orphan_notes().collect()] == ["docs/copy.md"]
     assert nb.link_stats()[0].first().total == 4
@@ -56,7 +62,10 @@ def test_changes(nb):
     assert [tuple(r) for r in nb.sync_vault().collect()] == [("new.md", "new")]
     nb.reindex_note("new.md")
     assert nb.table("chunks").where("vector IS NULL").count() == 0 and nb.table("catalog").count() == 5
-    assert nb.get_outlinks("new.md").first().to_note_path == "Welcome.md"
+    assert nb.get_outlinks("new.md")[0].first().resolved_path == "Welcome.md"
+    assert sorted(r.path for r in nb.generate_missing_ids().collect()) == ["Welcome.md", "docs/copy.md", "docs/manual.md"]
+    assert nb.generate_missing_ids("docs", dry_run=False).count() == 2 and [r.path for r in nb.generate_missing_ids().collect()] == ["Welcome.md"]
+    assert {(r.path, r.action) for r in nb.reconcile().collect()} == {("docs/copy.md", "upsert"), ("docs/manual.md", "upsert")} and nb.reconcile().count() == 0
     nb.delete_note("new.md")
     nb.sync_vault(dry_run=False)
     assert nb.table("catalog").count() == 4 and nb.sync_vault().count() == 0

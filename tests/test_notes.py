@@ -11,12 +11,13 @@ from marginalia.errors import InvalidRequest, NotFound
 from marginalia.functions import links as ln
 from marginalia.functions.coerce import FieldRule, coerce, validate
 from marginalia.functions.passages import passages, sections
+from marginalia.functions.links import matches_note
 from marginalia.functions.strings import json_object_in, normalize_target, redact_paths, stem
 from marginalia.operators.navigate import capped_passages
 from marginalia.sources.notefiles import NoteFiles, uuid7
-from marginalia.sources.notes import ingest, note_fields, split_frontmatter
+from marginalia.sources.notes import clean_mdx, ingest, note_fields, split_frontmatter
 from marginalia.sources.store import Store, upsert
-from marginalia.streaming.changes import allowed_attempts, apply_to_store, change_log, coalesced, follow
+from marginalia.streaming.changes import allowed_attempts, apply_to_store, change_log, coalesced, follow, statuses
 
 
 @settings(max_examples=100, deadline=None)
@@ -126,7 +127,17 @@ def test_ingest_store_and_stream(spark, tree, tmp_path):
     now = store.load()
     assert {r.path for r in now["catalog"].collect()} == {"Welcome.md", "docs/m.md", "p/Other.MDX", "bad.canvas", "doc.pdf", "empty.md", "Missing.md"}
     assert now["links"].where("from_note_path = 'docs/m.md'").first().to_note_path == "Welcome.md" and now["chunks"].where("note_path = 'a.canvas'").count() == 0
-    rows = now["chunks"].count()
+    assert {r.path: r.status for r in statuses(spark, store).collect()} == {"docs/m.md": "success", "Missing.md": "success", "a.canvas": "deleted"}
+    kept = store._manifest(store.current())["catalog"]["parts"].values()
+    assert set(kept) == {first, store.current()}  # parts of unchanged notes stay where they are
+    (root / "out.md").symlink_to("/etc/hostname")
+    again = spark.createDataFrame([("out.md", False), ("docs", False), ("empty.md", False)], "path string, deleted boolean")
+    for _ in range(4):
+        apply_to_store(spark, store, str(root), Settings(breaker_window_s=3600))(again, 1)
+    seen = {(r.path, r.status): r["count"] for r in statuses(spark, store).groupBy("path", "status").count().collect()}
+    assert seen[("out.md", "failed: outside")] == 3 and seen[("out.md", "refused")] == 1 and seen[("empty.md", "empty")] == 4
+    assert store.load()["catalog"].count() == now["catalog"].count()
+    rows = store.load()["chunks"].count()
     store.compact()
     assert store.load()["chunks"].count() == rows
     with pytest.raises(RuntimeError):
@@ -154,7 +165,8 @@ def test_upsert(spark):
 
 
 def test_note_files(tmp_path):
-    n = NoteFiles(str(tmp_path))
+    log = tmp_path / "log"
+    n = NoteFiles(str(tmp_path), log=str(log))
     assert n.create("a/b.md", "body", {"k": 1})["k"] == 1 and n.metadata("a/b.md")["k"] == 1
     with pytest.raises(InvalidRequest):
         n.create("a/b.md", "again")
@@ -168,11 +180,12 @@ def test_note_files(tmp_path):
     n.append("a/b.md", "end")
     assert n.read("a/b.md").endswith("body\n\nmore\n\n\n\nend")
     assert n.update_frontmatter("a/b.md", {"z": "é"})["k"] == 1 and n.update_frontmatter("a/b.md", {"q": 1}, merge=False) == {"q": 1}
-    assert n.generate_missing_ids() == ["a/b.md"] and n.generate_missing_ids(dry_run=False) == ["a/b.md"] and n.generate_missing_ids() == []
     n.move("a/b.md", "c.md")
-    assert n.delete("c.md") == ".trash/c.md" and list(n.notes()) == []
+    assert n.delete("c.md") == ".trash/c.md"
     n.create("c.md", "x")
     assert n.delete("c.md") == ".trash/c-1.md"
+    logged = [(d["path"], d["deleted"]) for f in sorted(log.iterdir()) for d in map(json.loads, f.read_text().splitlines())]
+    assert logged[0] == ("a/b.md", False) and logged[-4:] == [("c.md", False), ("c.md", True), ("c.md", False), ("c.md", True)] or logged[-3:] == [("c.md", True), ("c.md", False), ("c.md", True)]
     assert len({uuid7() for _ in range(100)}) == 100 and uuid7()[14] == "7"
 
 
@@ -258,3 +271,17 @@ def test_redaction_and_json_in_text(spark):
     found = ['{"a":1}', 'x ```json\n{"a":1}\n``` y {', 'so {"a":{"b":1}} end', "[1]", "{no}", "", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in found], "t string").select(json_object_in(F.col("t"))).collect()]
     assert got == ['{"a":1}', '{"a":1}', '{"a":{"b":1}}', None, None, None, None]
+
+
+def test_mdx_is_cleaned_to_any_depth():
+    nested = "gone"
+    for k in range(30):
+        nested = f"<A{k}>{nested}</A{k}>"
+    assert clean_mdx(f"import x from 'y'\nexport const a = 1\nkept <B c='d'/>{nested} too <p>html</p>").split() == ["kept", "too", "<p>html</p>"]
+
+
+def test_matches_note(spark):
+    note, spaced = "folder/my-note.md", "folder/my note.md"
+    cases = [("my-note", note, True), ("My-Note", note, True), ("my-note.md", note, True), ("folder/my-note", note, True), ("my note", note, True), ("my-note", spaced, True), ("other-note", note, False), ("note", note, False), ("note", "a/b/note.md", True), (None, note, None)]
+    df = spark.createDataFrame([c[:2] for c in cases], "t string, p string")
+    assert [r.m for r in df.select(matches_note(F.col("t"), F.col("p")).alias("m")).collect()] == [c[2] for c in cases]
