@@ -49,7 +49,8 @@ _LINK_SIGNS = ("](", "[[", "://", "www.", "<a ")
 _TAG = re.compile(r"#(?<![\w#]#)[^\W_][\w/-]*")
 _SEGMENT = re.compile(r"[.!?…。！？\n•·|;](?:(?<=[.!?…。！？])[\"'”’»)\]]*\s+|(?<=\n)(?:\s*\n|(?=\s*(?:[-*+•#>|]|\d+[.)]\s)))|(?<=[•·|;]))")
 
-_CLOSED = re.compile(r"[^.!?…。！？\n•·|;]+[.!?…。！？]")
+_ENDS = re.compile(r"([.!?…。！？\n•·|;])")
+_STOPS = frozenset(".!?…。！？")
 
 PAGE = "lang string, n int, overlap double, linked int, repeated int, sentences int, said int, counts array<int>, times array<int>, own_counts array<int>, own_times array<int>, own_named array<int>"
 _INTS = pa.list_(pa.int32())
@@ -136,9 +137,19 @@ class _Pages:
                 continue
             if len(set(filter(is_common, said))) >= 2 and not (heavy and 2 * sum(map(is_heavy, said)) >= k):
                 sentences += k
-        said = 0 if 4 * sentences >= n else sum(len(k) for k in map(words, _CLOSED.findall(rest)) if len(k) >= 5 and len({w for w in k if seen[w] < REPEATED and not w.isdigit()}) >= 2)
-        curve, own, named = Counter(counts.values()), Counter(seen.values()), Counter(c for w, c in seen.items() if not w.isdigit())
-        return lang, n, overlap, len(linked), int(repeated), sentences, said, list(curve), list(curve.values()), list(own), list(own.values()), [named[c] for c in own]
+        said = 0 if 4 * sentences >= n else self._closed(rest, seen)
+        curve, own, numbers = Counter(counts.values()), Counter(seen.values()), Counter(map(seen.__getitem__, filter(str.isdigit, seen)))
+        return lang, n, overlap, len(linked), int(repeated), sentences, said, list(curve), list(curve.values()), list(own), list(own.values()), [m - numbers[c] for c, m in own.items()]
+
+
+    @staticmethod
+    def _closed(text: str, seen: Counter) -> int:
+        """Words in phrases that a stop closes, of five words or more, at least two of which the page does not repeat."""
+        parts, out = _ENDS.split(text), 0
+        for phrase, end in zip(parts[::2], parts[1::2], strict=False):
+            if end in _STOPS and len(own := words(phrase)) >= 5 and len({w for w in own if seen[w] < REPEATED and not w.isdigit()}) >= 2:
+                out += len(own)
+        return out
 
 
 def _count_pages(batches: Iterator[pa.RecordBatch], common: list, names: list[str]) -> Iterator[pa.RecordBatch]:
