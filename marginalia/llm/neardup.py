@@ -2,8 +2,8 @@
 
 Every text is a set of runs of ``SHINGLE`` consecutive words. A sketch splits the runs' hashes into buckets and keeps, of the
 least hash in each, the count of its leading zeros and the mantissa bits after its first one, in 16 bits. Empty buckets of
-short texts take another bucket's register, chosen by hash. Three registers, packed in one number, are a band: texts that agree in a
-band are candidates. A candidate's similarity is estimated from its equal registers, corrected for registers that agree by
+short texts take another bucket's register, chosen by hash. Three registers and their place, packed in one number, are a band: texts
+that agree in a band are candidates. A candidate's similarity is estimated from its equal registers, corrected for registers that agree by
 chance, and what may reach the threshold is verified on the sets themselves.
 
 Texts with the same words are one class, compared once.
@@ -118,7 +118,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int, least_words: int, na
                     same.append(xxhash.xxh3_128_digest(" ".join(own)))
             if not kept:
                 continue
-            bands = sketch(sets).reshape(len(sets), BANDS, ROWS).astype(np.int64) @ (1 << 16 * np.arange(ROWS, dtype=np.int64))
+            bands = sketch(sets).reshape(len(sets), BANDS, ROWS).astype(np.int64) @ (1 << 16 * np.arange(ROWS, dtype=np.int64)) + (np.arange(BANDS, dtype=np.int64) << 16 * ROWS)
             ends = np.arange(0, bands.size + 1, BANDS, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(kept)), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))],
@@ -153,18 +153,18 @@ def estimated_similarity(agree: Column, na: Column, nb: Column) -> Column:
 
 
 def _meetings(banded: DataFrame, threshold: float, disk: Scratch) -> DataFrame:
-    """Pairs (a, b, na, nb), a < b, that share a band (rep, n, band, key) and whose sizes allow the threshold.
+    """Pairs (a, b, na, nb), a < b, that share a band (rep, n, key) and whose sizes allow the threshold.
 
     Keys of one text, by far the most, fall away before anything else is done. Keys of many are cut into blocks of about ``CLASS_BLOCK`` texts, and each task joins
     one block to another, so no key needs to fit into a task.
     """
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("met")).where("met > 1")
-    live = disk.table(banded.join(shared, ["band", "key"])).withColumn("blocks", F.ceil(F.col("met") / CLASS_BLOCK).cast("int"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
+    live = disk.table(banded.join(shared, "key")).withColumn("blocks", F.ceil(F.col("met") / CLASS_BLOCK).cast("int"))
     placed = live.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    a = placed.select("band", "key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("rep").alias("x"), F.col("n").alias("nx"))
-    b = placed.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("rep").alias("y"), F.col("n").alias("ny"))
+    a = placed.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("rep").alias("x"), F.col("n").alias("nx"))
+    b = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("rep").alias("y"), F.col("n").alias("ny"))
     close = (F.col("nx") >= F.col("ny") * threshold) & (F.col("ny") >= F.col("nx") * threshold)
-    met = a.join(b, ["band", "key", "i", "j"]).where(close & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
+    met = a.join(b, ["key", "i", "j"]).where(close & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
     first = F.col("x") < F.col("y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
 
@@ -199,8 +199,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", threshol
     in_class = sketched.select("id", "same").join(several, "same").select("id", F.col("rep").alias("class_id"), "copies")
     reps = sketched.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
-    banded = reps.select(F.col("id").alias("rep"), "n", F.posexplode("bands").alias("band", "key"))
-    candidates = _meetings(banded, threshold, disk).select("a", "b", "na", "nb").distinct()
+    banded = reps.select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
+    candidates = _meetings(banded, threshold, disk).select("a", "b", "na", "nb").repartition("a").distinct()  # one shuffle for this and the next join
 
     regs = reps.select(F.col("id").alias("rep"), "bands")
     with_a = candidates.join(regs.withColumnsRenamed({"rep": "a", "bands": "ra"}), "a")
