@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.strings import is_blank, normalize_target, present, stem
-from marginalia.operators.skew import join_unique
+from marginalia.operators.skew import join_any, join_unique
 
 
 def _external() -> F.Column:
@@ -47,7 +47,7 @@ def backlinks(links: DataFrame, catalog: DataFrame) -> DataFrame:
     names = paths.select(F.explode(F.array_distinct(F.array(normalize_target(F.col("path")), normalize_target(stem(F.col("path")))))).alias("name"), "path").where("name <> ''")
     source = ["link_id", "from_note_path", "link_type", "context"]
     by_path = own.select(*source, F.col("to_note_path").alias("path")).join(paths, "path", "left_semi")
-    by_name = own.select(*source, F.col("link_target_normalized").alias("name")).join(names, "name").drop("name")
+    by_name = join_any(own.select(*source, F.col("link_target_normalized").alias("name")).where("name IS NOT NULL"), names, "name").drop("name")
     both = by_path.select("path", *source).unionByName(by_name.select("path", *source)).where("from_note_path IS NOT NULL AND from_note_path <> path")
     first = both.groupBy("path", "from_note_path").agg(F.min(F.struct("link_id", "link_type", "context")).alias("f"))
     return first.select("path", "from_note_path", "f.*")

@@ -167,3 +167,13 @@ def test_bm25_prefers_rare_terms_and_drops_stop_words(spark):
     got = [(r.query_id, r.id) for r in fts.bm25(docs, asked, "id").orderBy("query_id", "rank").collect()]
     assert got == [(0, 3), (0, 1), (0, 2)]
     assert [r.id for r in fts.bm25(docs, asked, "id", without=fts.stop_words("english")).orderBy("rank").collect()] == [3, 1]
+
+
+def test_join_of_hot_keys_in_parts(spark, monkeypatch):
+    from marginalia.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 4)
+    big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)] + [(99, None)], "i long, k string")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4), (None, 5)], "k string, j long")
+    got = sorted(tuple(r) for r in skew.join_any(big, small, "k").select("i", "j").collect())
+    assert got == sorted((r.i, r.j) for r in big.join(small, "k").select("i", "j").collect())
