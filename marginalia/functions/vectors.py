@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 METRICS = ("cosine", "l2", "dot")
 QUERY_BLOCK = 4096
 QUERY_BYTES = 64 << 20
+ROW_BYTES = 64 << 20
+STRIP_ROWS = 4096
 PARTS = 256
 
 
@@ -96,58 +98,77 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
 
 
-def query_blocks(queries: DataFrame, key: str = "query_id") -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stated queries (``key``, vector) in blocks of at most ``QUERY_BLOCK`` vectors and ``QUERY_BYTES``."""
-    ids, vectors, size = [], [], 0
-    for i, v in queries.select(key, "vector").toLocalIterator():
-        if v is None:
-            continue
-        ids.append(i)
-        vectors.append(np.asarray(v, np.float64))
-        size += vectors[-1].nbytes
-        if len(ids) >= QUERY_BLOCK or size >= QUERY_BYTES:
-            yield np.array(ids, np.int64), np.stack(vectors)
-            ids, vectors, size = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), np.stack(vectors)
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of vectors of one length, as rows."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
+
+
+def one_block(queries: DataFrame) -> pa.Table | None:
+    """The queries themselves where they are at most ``QUERY_BLOCK`` vectors and ``QUERY_BYTES``, else nothing."""
+    first = queries.limit(QUERY_BLOCK + 1).toArrow()
+    return first if first.num_rows <= QUERY_BLOCK and first.nbytes <= QUERY_BYTES else None
+
+
+def against(table: DataFrame, queries: DataFrame, kernel: Callable[[pa.Table, pa.RecordBatch], pa.RecordBatch], schema: str, block: pa.Table | None) -> DataFrame:
+    """``kernel(queries, rows)`` for all queries against all rows of ``table``; both have a column ``vector`` without nulls.
+
+    Queries that are one ``block`` are broadcast and no row moves. More of them are cut into blocks of that size, and the rows into
+    blocks of ``ROW_BYTES``: a task gets one of each, so neither the driver nor a task holds more, however many there are.
+    """
+    if block is not None:
+        shared = table.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and shared.value.num_rows:
+                    yield kernel(shared.value, batch)
+
+        return table.mapInArrow(run, schema)
+
+    n, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    asked = max(-(-n // QUERY_BLOCK), -(-n * width * 8 // QUERY_BYTES))
+    parts = max(1, -(-table.count() * width * 8 // ROW_BYTES))
+    columns = table.columns
+    left = table.withColumns({"rb": F.pmod(F.xxhash64(*columns), F.lit(parts)), "qb": F.explode(F.sequence(F.lit(0), F.lit(asked - 1)))})
+    right = queries.withColumns({"qb": F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int"), "rb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))})
+
+    empty = table.sparkSession.createDataFrame([], schema).toArrow()
+
+    def both(rows: pa.Table, q: pa.Table) -> pa.Table:
+        made = [kernel(q, b) for b in rows.select(columns).to_batches(max_chunksize=STRIP_ROWS) if b.num_rows and q.num_rows]
+        return pa.Table.from_batches(made) if made else empty
+
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(both, schema)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, top_k: int = 10, metric: str = "cosine", skip: str | None = None) -> DataFrame:
     """The ``top_k`` nearest rows of every query as (query_id, id, distance, rank), exactly; ties by id.
 
-    Queries (query_id, vector) go out in blocks; a task multiplies a block with a batch of rows and keeps ``top_k`` per query, so
-    what is shuffled is at most ``top_k`` rows per query and batch. Rows whose number in
+    A task multiplies a block of queries (query_id, vector) with a batch of rows and keeps ``top_k`` per query, so what is shuffled
+    after it is at most ``top_k`` rows per query and batch; see ``against`` for how the blocks meet. Rows whose number in
     column ``skip`` equals the query's column ``own``, or its id where there is none, are passed over: the id column itself leaves
     out the query's own row, a group column its own group. Null vectors are left out.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    sc = rows.sparkSession.sparkContext
     own_group = F.col(skip).cast("long") if skip else F.lit(None).cast("long")
-    table = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), own_group.alias("g")).where(F.col("v").isNotNull())
-    found = None
-    for keys, vectors in query_blocks(queries.select(F.struct("query_id", F.col("own" if "own" in queries.columns else "query_id").cast("long").alias("own")).alias("key"), "vector"), "key"):
-        shared = sc.broadcast((keys[:, 0], keys[:, 1], vectors))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q_own, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                d = np.round(distances(q, x, metric), 9)
-                if skip:
-                    d[q_own[:, None] == batch.column(2).fill_null(-(1 << 62)).to_numpy()[None, :]] = np.inf
-                k = min(top_k, len(own))
-                order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
-                flat = np.take_along_axis(d, order, 1).ravel()
-                keep = np.isfinite(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, k)[keep]), pa.array(own[order].ravel()[keep]), pa.array(flat[keep])], names=["query_id", "id", "distance"])
-
-        part = table.mapInArrow(best, "query_id long, id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
+    table = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector"), own_group.alias("g")).where("vector IS NOT NULL")
+    own_query = F.col("own" if "own" in queries.columns else "query_id").cast("long").alias("own")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), own_query, "vector").where("vector IS NOT NULL")
+
+    def best(q: pa.Table, batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = batch.column("id").to_numpy()
+        d = np.round(distances(matrix(q["vector"]), matrix(batch.column("vector")), metric), 9)
+        if skip:
+            d[q["own"].to_numpy()[:, None] == batch.column("g").fill_null(-(1 << 62)).to_numpy()[None, :]] = np.inf
+        k = min(top_k, len(own))
+        order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
+        flat = np.take_along_axis(d, order, 1).ravel()
+        keep = np.isfinite(flat)
+        ids = np.repeat(q["query_id"].to_numpy(), k)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(own[order].ravel()[keep]), pa.array(flat[keep])], names=["query_id", "id", "distance"])
+
+    found = against(table, asked, best, "query_id long, id long, distance double", one_block(asked))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

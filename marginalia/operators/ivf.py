@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.vectors import query_blocks
+from marginalia.functions.vectors import against, matrix, one_block
 
 INDEX_FROM_ROWS, ROWS_PER_LIST, MOST_LISTS = 5000, 8192, 256
 FIT_ROWS = 100_000
@@ -53,37 +53,35 @@ def write_index(assigned: DataFrame, path: str) -> None:
 
 
 def search_index(index: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int, top_k: int = 10) -> DataFrame:
-    """The ``top_k`` nearest by cosine among the ``probes`` lists nearest to each query, as (query_id, id, distance, rank)."""
-    sc = index.sparkSession.sparkContext
-    found = None
-    for ids, q in query_blocks(queries):
-        unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        near = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes]
-        shared = sc.broadcast((ids, unit, near))
-
-        def run(batches, shared=shared):
-            q_ids, u, lists = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own, where = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                out = ([], [], [])
-                for part in np.unique(where):
-                    asked, there = np.flatnonzero((lists == part).any(1)), where == part
-                    if len(asked):
-                        d = np.round(1 - u[asked] @ x[there].T, 9)
-                        k = min(top_k, d.shape[1])
-                        order = np.lexsort((np.broadcast_to(own[there], d.shape), d), axis=1)[:, :k]
-                        out[0].append(np.repeat(q_ids[asked], k))
-                        out[1].append(own[there][order].ravel())
-                        out[2].append(np.take_along_axis(d, order, 1).ravel())
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "id", "distance"])
-
-        probed = index.where(F.col("list").isin([int(x) for x in np.unique(near)]))
-        part = probed.select("id", "v", "list").mapInArrow(run, "query_id long, id long, distance double")
-        found = part if found is None else found.unionByName(part)
+    """The ``top_k`` nearest by cosine among the ``probes`` lists nearest to each query, as (query_id, id, distance, rank).
+
+    Of few queries only the lists that they probe are read. Without queries there are no rows; null vectors are none.
+    """
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector IS NOT NULL")
+
+    def lists_of(q: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        x = matrix(q["vector"])
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return unit, np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes]
+
+    def run(q: pa.Table, batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, where, x, ids = batch.column("id").to_numpy(), batch.column("list").to_numpy(), matrix(batch.column("vector")), q["query_id"].to_numpy()
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        unit, lists = lists_of(q)
+        out = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        for part in np.unique(where):
+            near, there = np.flatnonzero((lists == part).any(1)), where == part
+            if len(near):
+                d = np.round(1 - unit[near] @ x[there].T, 9)
+                k = min(top_k, d.shape[1])
+                order = np.lexsort((np.broadcast_to(own[there], d.shape), d), axis=1)[:, :k]
+                for column, values in zip(out, (np.repeat(ids[near], k), own[there][order].ravel(), np.take_along_axis(d, order, 1).ravel()), strict=True):
+                    column.append(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "id", "distance"])
+
+    block = one_block(asked)
+    few = block is not None and block.num_rows
+    probed = index.where(F.col("list").isin(np.unique(lists_of(block)[1]).tolist())) if few else index
+    found = against(probed.select("id", F.col("v").alias("vector"), "list"), asked, run, "query_id long, id long, distance double", block)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

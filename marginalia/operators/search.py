@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.vectors import distances, mean_vectors, query_blocks, score
+from marginalia.functions.vectors import against, distances, matrix, mean_vectors, one_block, score
 
 RRF_K = 60
 CANDIDATES, MOST_CANDIDATES, MULTIPLIER = 50, 500, 2
@@ -63,37 +63,30 @@ def nearest_groups(rows: DataFrame, queries: DataFrame, by: str, vector: str, to
     those the first ``top_k`` groups. That loses none: a group that ranks first overall ranks so in the batch of its nearest row, as
     whatever is ahead of it there is ahead of it overall. Rows without a group or vector are left out.
     """
-    sc = rows.sparkSession.sparkContext
-    table = rows.select(F.col(by).cast("long").alias("g"), F.col(vector).alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
-    found = None
-    for ids, vectors in query_blocks(queries):
-        shared = sc.broadcast((ids, vectors))
-
-        def least(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                own = batch.column(0).to_numpy()
-                order = np.argsort(own, kind="stable")
-                groups, starts = np.unique(own[order], return_index=True)
-                x = x[order]
-                for at in range(0, len(q), QUERY_STRIP):
-                    strip = q_ids[at : at + QUERY_STRIP]
-                    d = np.round(distances(q[at : at + QUERY_STRIP], x, "cosine"), 9)
-                    best = np.minimum.reduceat(np.where(np.isfinite(d), d, np.inf), starts, axis=1)
-                    best[strip[:, None] == groups[None, :]] = np.inf
-                    k = min(top_k, len(groups))
-                    first = np.argsort(best, axis=1, kind="stable")[:, :k]
-                    flat = np.take_along_axis(best, first, 1).ravel()
-                    keep = np.isfinite(flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(strip, k)[keep]), pa.array(groups[first].ravel()[keep]), pa.array(flat[keep])], names=["query_id", "other", "distance"])
-
-        part = table.mapInArrow(least, "query_id long, other long, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, other long, distance double, rank int")
+    table = rows.select(F.col(by).cast("long").alias("g"), F.col(vector).alias("vector")).where("g IS NOT NULL AND vector IS NOT NULL")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector IS NOT NULL")
+
+    def least(q: pa.Table, batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = batch.column("g").to_numpy()
+        order = np.argsort(own, kind="stable")
+        groups, starts = np.unique(own[order], return_index=True)
+        x, vectors, ids = matrix(batch.column("vector"))[order], matrix(q["vector"]), q["query_id"].to_numpy()
+        k, out = min(top_k, len(groups)), ([], [], [])
+        for at in range(0, len(ids), QUERY_STRIP):
+            strip = ids[at : at + QUERY_STRIP]
+            d = np.round(distances(vectors[at : at + QUERY_STRIP], x, "cosine"), 9)
+            best = np.minimum.reduceat(np.where(np.isfinite(d), d, np.inf), starts, axis=1)
+            best[strip[:, None] == groups[None, :]] = np.inf
+            first = np.argsort(best, axis=1, kind="stable")[:, :k]
+            flat = np.take_along_axis(best, first, 1).ravel()
+            keep = np.isfinite(flat)
+            for column, values in zip(out, (np.repeat(strip, k), groups[first].ravel(), flat), strict=True):
+                column.append(values[keep])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "other", "distance"])
+
+    block = one_block(asked)
+    own = table if block is not None else table.distinct()  # copies in a group would meet in one block of rows
+    found = against(own, asked, least, "query_id long, other long, distance double", block)
     nearest_rows = found.groupBy("query_id", "other").agg(F.min("distance").alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "other")
     return nearest_rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import highlight as hl
+from marginalia.functions import highlight as hl, vectors
 from marginalia.functions.vectors import distance, mean_vectors, nearest, unit
 from marginalia.operators import duplicates, fts, ivf, navigate, search
 from marginalia.plans.queries import QUERIES
@@ -28,7 +28,10 @@ def test_rerank_orders_and_cuts(spark):
     assert [(r.id, r.rerank_score) for r in got.orderBy("position").collect()] == [(2, 1.0), (3, 0.5)]
 
 
-def test_nearest_against_numpy(spark):
+@pytest.mark.parametrize("block", [4096, 6])
+def test_nearest_against_numpy(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "ROW_BYTES", 1 << (26 if block > 6 else 13))
     x = np.random.default_rng(0).standard_normal((200, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)] + [(900, 0, None)], VECTOR).repartition(5)
     asked = df.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
@@ -51,7 +54,10 @@ def test_column_distances(spark):
     assert means[0].mean == [2.0, 3.0]
 
 
-def test_ivf_recall(spark):
+@pytest.mark.parametrize("block", [4096, 6])
+def test_ivf_recall(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "ROW_BYTES", 1 << (26 if block > 6 else 16))
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((12, 24))
     x = (centres[rng.integers(0, 12, 1500)] + 0.4 * rng.standard_normal((1500, 24))).astype(np.float32)
@@ -62,7 +68,8 @@ def test_ivf_recall(spark):
     assert index.count() == 1500
     near = {(r.query_id, r.id) for r in ivf.search_index(index, asked, c, 4).collect()}
     exact = {(r.query_id, r.id) for r in nearest(df, asked, "id", "v", 10).collect()}
-    assert len(near & exact) >= 0.9 * len(exact)
+    assert len(near & exact) >= 0.9 * len(exact) and len(near) == 150
+    assert ivf.search_index(index, asked.where("false"), c, 4).count() == 0
     assert [ivf.list_count(n) for n in (10, 8192 * 3, 10**9)] == [1, 3, 256] and not ivf.index_status(4999)["indexed"]
 
 
@@ -102,8 +109,10 @@ def test_similar_pairs_loses_none(spark, monkeypatch, block):
     assert some <= {(i, j) for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= 0.4 - 1e-9} and some
 
 
-@pytest.mark.parametrize("hot", [0, 60])
-def test_similar_groups_whatever_their_size(spark, hot):
+@pytest.mark.parametrize(("hot", "block"), [(0, 4096), (60, 4096), (60, 3)])
+def test_similar_groups_whatever_their_size(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "ROW_BYTES", 1 << (26 if block > 3 else 11))
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.standard_normal((40, 8)), np.ones((hot, 8)) + 0.01 * rng.standard_normal((hot, 8)), [[1.0] * 8]])
     labels = [i % 8 for i in range(40)] + [8] * hot + [9]
