@@ -11,6 +11,7 @@ from collections.abc import Callable
 from datetime import datetime
 from statistics import mean, median, quantiles
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,9 @@ from marginalia.functions.lineage import Scratch
 from marginalia.functions.strings import normalize_target
 from marginalia.functions.vectors import mean_vectors, nearest
 from marginalia.operators import duplicates, fts, graph, ivf, navigate, notelinks, search, sync
-from marginalia.providers import Embedder, HashingEmbedder, embed_column, embed_query
+from marginalia.providers import Embedder, HashingEmbedder, embed_query
 from marginalia.sources.notefiles import NoteFiles, lacking_ids
-from marginalia.sources.notes import ingest, scan
+from marginalia.sources.notes import ingest, scan, stored_tables
 from marginalia.sources.store import Store
 from marginalia.streaming.changes import apply_to_store, change_log, follow
 
@@ -62,8 +63,7 @@ class Notebook:
         if dry_run:
             return scan(self.spark, self.root, self.settings).groupBy("extension").agg(F.count("*").alias("notes"))
         c = ingest(self.spark, self.root, self.settings, self.pdf_pages)
-        vectors = embed_column(c.chunks, "chunk_id", "text", self.embedder)
-        return self.store.publish({"chunks": c.chunks.join(vectors, "chunk_id"), "links": c.links, "aliases": c.aliases, "catalog": c.catalog})
+        return self.store.publish(stored_tables(c, self.settings, self.embedder))
 
     def sync_vault(self, dry_run: bool = True) -> DataFrame:
         """New, deleted and modified notes; unless ``dry_run`` their rows are replaced."""
@@ -95,8 +95,31 @@ class Notebook:
     def compact_index(self) -> str:
         return self.store.compact()
 
+    def _index(self) -> str:
+        return f"vectors-{self.store.current()}"
+
+    def build_vector_index(self, least_rows: int = ivf.INDEX_FROM_ROWS) -> dict:
+        """An inverted file over the vectors of the current generation, for searches with ``probes``; smaller tables get none. A later generation has
+        none until it is built for that one."""
+        rows = self.table("chunks").where("vector IS NOT NULL")
+        n = rows.count()
+        if n >= max(1, least_rows) and not self.store.has(f"{self._index()}/centres"):
+            centres = ivf.fit_centres(rows, "vector", ivf.list_count(n))
+            ivf.write_index(ivf.assign(rows, "chunk_id", "vector", centres), f"{self.store.base}/{self._index()}/lists")
+            made = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>")
+            made.coalesce(1).write.parquet(f"{self.store.base}/{self._index()}/centres")  # last: an index with centres is whole
+        return self.vector_index_status()
+
+    def _centres(self) -> np.ndarray | None:
+        """The centres of the current generation's index, ``ivf.MOST_LISTS`` at most."""
+        if not self.store.has(f"{self._index()}/centres"):
+            return None
+        return np.array([r.centre for r in self.spark.read.parquet(f"{self.store.base}/{self._index()}/centres").orderBy("list").collect()])
+
     def vector_index_status(self) -> dict:
-        return ivf.index_status(self.table("chunks").count())
+        """The rows of the current generation, whether its index is built, and of how many lists."""
+        centres = self._centres()
+        return {"rows": self.table("chunks").count(), "indexed": centres is not None, "lists": 0 if centres is None else len(centres)}
 
     def prewarm(self) -> int:
         """Keeps the passages in the executors' memory and disk; their number."""
@@ -109,9 +132,12 @@ class Notebook:
             raise InvalidRequest("the query is empty")
         return query[:LONGEST_QUERY]
 
-    def _near(self, rows: DataFrame, query: str, k: int) -> DataFrame:
+    def _near(self, rows: DataFrame, query: str, k: int, probes: int | None = None) -> DataFrame:
         asked = self.spark.createDataFrame([(0, list(embed_query(self.embedder, query)))], "query_id long, vector array<double>")
-        return nearest(rows, asked, "chunk_id", "vector", k)
+        centres = self._centres() if probes else None
+        if centres is None:
+            return nearest(rows, asked, "chunk_id", "vector", k)
+        return ivf.search_index(self.spark.read.parquet(f"{self.store.base}/{self._index()}/lists"), asked, centres, probes, k)
 
     def _answer(self, ranked: DataFrame, rows: DataFrame, query: str, k: int, exclude: list[str] | None = None) -> DataFrame:
         whole = ranked.join(rows.select("chunk_id", *PUBLIC), F.col("id") == F.col("chunk_id")).withColumn("query", F.lit(query))
@@ -127,15 +153,18 @@ class Notebook:
         self.samples[name] = [*self.samples.get(name, []), (time.perf_counter() - start) * 1000][-SAMPLES:]
         return out
 
-    def search_vault(self, query: str, top_k: int = 10) -> DataFrame:
+    def search_vault(self, query: str, top_k: int = 10, probes: int | None = None) -> DataFrame:
+        """Exact, or with ``probes`` among the passages of that many lists of the vector index, where one is built."""
         q, k, rows = self._query(query), clamp(top_k, 1, 100), self.table("chunks")
-        return self._timed("search_vault", lambda: self._answer(self._near(rows, q, search.candidate_count(k)), rows, q, k))
+        return self._timed("search_vault", lambda: self._answer(self._near(rows, q, search.candidate_count(k), probes), rows, q, k))
 
     def search_vault_hybrid(self, query: str, top_k: int = 10) -> DataFrame:
         q, k, rows = self._query(query), clamp(top_k, 1, 100), self.table("chunks")
         n = search.candidate_count(k)
         asked = self.spark.createDataFrame([(0, q)], "query_id long, query string")
-        fused = search.fuse([self._near(rows, q, n), fts.bm25(rows, asked, "chunk_id", top_k=n, without=fts.stop_words(self.settings.language) if self.settings.language else ())], n)
+        sizes = rows.select(F.col("n_terms").alias("length"))
+        words = fts.bm25_indexed(self.table("postings"), sizes, asked, n, without=fts.stop_words(self.settings.language))
+        fused = search.fuse([self._near(rows, q, n), words], n)
         return self._timed("search_vault_hybrid", lambda: self._answer(fused, rows, q, k))
 
     def search_by_folder(self, query: str, folder: str, top_k: int = 10) -> DataFrame:

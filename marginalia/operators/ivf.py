@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.vectors import against, matrix, one_block
+from marginalia.functions.vectors import against, matrix, norm, one_block
 
 INDEX_FROM_ROWS, ROWS_PER_LIST, MOST_LISTS = 5000, 8192, 256
 FIT_ROWS = 100_000
@@ -19,13 +19,15 @@ def list_count(rows: int) -> int:
     return max(1, min(rows // ROWS_PER_LIST, MOST_LISTS))
 
 
-def index_status(rows: int) -> dict:
-    """Whether a table of ``rows`` passages gets an index, and of how many lists."""
-    return {"rows": rows, "indexed": rows >= INDEX_FROM_ROWS, "lists": list_count(rows) if rows >= INDEX_FROM_ROWS else 0}
-
-
 def fit_centres(rows: DataFrame, vector: str, lists: int, fit_rows: int = FIT_ROWS, seed: int = 7) -> np.ndarray:
-    """Unit-length cluster centres, fitted on at most about ``fit_rows`` rows drawn at random; all rows are indexed later."""
+    """Unit-length cluster centres, fitted on at most about ``fit_rows`` rows drawn at random; all rows are indexed later.
+
+    Null and zero vectors have no direction and are not fitted on. One list needs no fitting: any centre holds all rows.
+    """
+    rows = rows.where(F.col(vector).isNotNull())
+    if lists == 1:
+        return np.eye(1, len(rows.select(vector).first()[0]))
+    rows = rows.where(norm(F.col(vector)) > 0)
     total = rows.count()
     drawn = rows.sample(min(1.0, fit_rows / total), seed=seed) if total > fit_rows else rows
     model = KMeans(k=lists, seed=seed, maxIter=15, distanceMeasure="cosine").fit(drawn.select(array_to_vector(vector).alias("features")))

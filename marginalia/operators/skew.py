@@ -39,13 +39,13 @@ def join_unique(big: DataFrame, unique: DataFrame, key: str, counts: DataFrame,
     return there.unionByName(moved)
 
 
-def join_any(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+def join_any(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """``big`` joined on ``key`` to ``small``, in which a key may have several rows; either side may have hot keys.
 
     The rows of a key that is hot in ``big`` are cut by a hash of the row into as many parts as its bound takes, and its rows of
-    ``small`` are repeated per part. Keys that are not hot are not repeated. Only the hot keys are broadcast, the ``MOST_HOT`` largest.
+    ``small`` are repeated per part. Keys that are not hot are not repeated. Only the hot keys are broadcast, the ``MOST_HOT`` largest. ``counts`` (``key``, ``n``), if known, tells how often a key stands in ``big``.
     """
-    sizes = big.groupBy(key).agg(F.count("*").alias("n"))
+    sizes = big.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
     hot = F.broadcast(sizes.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(MOST_HOT).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
     left = big.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*big.columns), parts).cast("int")).drop("_parts")

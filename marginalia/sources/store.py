@@ -18,7 +18,8 @@ from pyspark.sql.types import StructType
 
 from marginalia.operators.notelinks import note_names
 
-NOTE_KEY = {"chunks": "note_path", "links": "from_note_path", "aliases": "note_path", "catalog": "path"}
+NOTE_KEY = {"chunks": "note_path", "links": "from_note_path", "aliases": "note_path", "catalog": "path", "postings": "note_path"}
+SORTED = {"postings": "term"}  # a search reads only the row groups that have its terms
 PARTS, SALTS = 64, 8
 
 
@@ -72,7 +73,9 @@ class Store:
         manifest = self._manifest(expected) if expected is not None and parts is not None else {}
         for t, df in tables.items():
             salt = F.pmod(F.xxhash64(*(c for c, kind in df.dtypes if not kind.startswith("map"))), F.lit(SALTS))  # a note of any size is written by several tasks
-            df.withColumn("part", part_of(NOTE_KEY[t])).repartition("part", salt).write.partitionBy("part").parquet(f"{self.base}/{name}/{t}")
+            placed = df.withColumn("part", part_of(NOTE_KEY[t])).repartition("part", salt)
+            placed = placed.sortWithinPartitions("part", SORTED[t]) if t in SORTED else placed
+            placed.write.partitionBy("part").parquet(f"{self.base}/{name}/{t}")
             made = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.base}/{name}/{t}"))]
             kept = {p: g for p, g in manifest[t]["parts"].items() if int(p) not in parts[t]} if t in manifest else {}
             manifest[t] = {"schema": df.schema.jsonValue(), "parts": kept | {m.removeprefix("part="): name for m in made if m.startswith("part=")}}

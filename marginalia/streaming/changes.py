@@ -144,8 +144,8 @@ def apply_to_store(spark: SparkSession, store, root: str, settings: Settings = S
     others with it; one that failed ``breaker_attempts`` times within ``breaker_window_s`` is refused until the window has passed. ``statuses`` has what became of each.
     """
     from marginalia.functions.lineage import Scratch, scratch_scope
-    from marginalia.providers import HashingEmbedder, embed_column
-    from marginalia.sources.notes import read_notes, resolved, tables_of
+    from marginalia.providers import HashingEmbedder
+    from marginalia.sources.notes import read_notes, resolved, stored_tables, tables_of
 
     def relinked(links: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
         external = F.col("link_type") == "external"
@@ -167,8 +167,8 @@ def apply_to_store(spark: SparkSession, store, root: str, settings: Settings = S
         files = disk.table(read_notes(own.where("NOT deleted").join(refused, "path", "left_anti"), root))
         good = files.where("problem IS NULL").drop("problem")
         corpus = tables_of(good, settings, pdf_pages)
-        chunks = corpus.chunks.join(embed_column(corpus.chunks, "chunk_id", "text", embedder or HashingEmbedder()), "chunk_id")
-        changed = {"chunks": disk.table(chunks), "links": disk.table(corpus.links), "aliases": corpus.aliases, "catalog": corpus.catalog}
+        changed = stored_tables(corpus, settings, embedder or HashingEmbedder())
+        changed |= {t: disk.table(changed[t]) for t in ("chunks", "links")}
         gone = own.where("deleted").select("path").unionByName(files.where("problem = 'missing'").select("path"))
         store.replace_notes(changed, gone, relinked)
 

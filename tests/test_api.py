@@ -69,8 +69,13 @@ def test_changes(nb):
     nb.delete_note("new.md")
     nb.sync_vault(dry_run=False)
     assert nb.table("catalog").count() == 4 and nb.sync_vault().count() == 0
+    assert nb.table("postings").select("note_path").distinct().count() == 4 and nb.table("postings").where("term = 'trains'").count() == 3
+    assert nb.search_vault_hybrid("zebra", 1).first().note_path == "z.txt"
     nb.compact_index()
     assert nb.table("chunks").count() == 4 and nb.vector_index_status() == {"rows": 4, "indexed": False, "lists": 0}
+    assert nb.build_vector_index() == nb.vector_index_status()
+    assert nb.build_vector_index(least_rows=1) == {"rows": 4, "indexed": True, "lists": 1}
+    assert nb.search_vault("zebra", 1, probes=1).first().note_path == "z.txt"
 
 
 def test_frontmatter(nb, spark):
