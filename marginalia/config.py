@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, fields
 
 # Note formats and folders that are never scanned.
@@ -42,3 +43,8 @@ class Settings:
         if unknown := set(given) - known:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+    @classmethod
+    def from_environment(cls, variable: str = "MARGINALIA_CONFIG") -> Settings:
+        """Settings of the YAML file that an environment variable names; the defaults where it is unset or empty."""
+        return cls.from_file(path) if (path := os.environ.get(variable)) else cls()

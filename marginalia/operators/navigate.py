@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.lineage import Scratch
 from marginalia.functions.strings import is_blank, strip
 
 
@@ -197,5 +198,30 @@ def capped_passages(chunks: DataFrame, cap: int = 1000) -> DataFrame:
 
 
 def latency_summary(events: DataFrame, by: str, value: str) -> DataFrame:
-    """Count, mean, median and 95th percentile (interpolated) of a measure."""
-    return events.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    """Count, mean, median and 95th percentile (interpolated) of a measure, per group: (``by``, n, mean, p50, p95).
+
+    Exact for groups of any size: equal values are counted first, the counts are cut into ranges of (group, value), and each range
+    starts at the number of values before it, so no task has a whole group. Null values do not count; a group of nulls alone has n = 0
+    and nulls, a null group is a group.
+    """
+    disk = Scratch(events.sparkSession, "latency")
+    own = events.select(F.col(by).alias("g"), F.col(value).alias("v"))
+    summary = own.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
+    counts = own.where("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("c"))
+    ranges = disk.table(counts.repartitionByRange("g", "v").withColumn("at", F.spark_partition_id()))
+    sizes = ranges.groupBy("g", "at").agg(F.sum("c").alias("size"))
+    earlier = Window.partitionBy("g").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("g").alias("of"), F.col("at").alias("range"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy("g")).alias("total"))
+    within = Window.partitionBy("g", "at").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranges.withColumn("upto", F.sum("c").over(within)).join(starts, F.col("g").eqNullSafe(F.col("of")) & (F.col("at") == F.col("range")))
+    end = F.col("start") + F.col("upto")
+    first = end - F.col("c")
+
+    def quantile(share: float) -> Column:
+        place = F.lit(share) * (F.col("total") - 1)
+        at = lambda k: F.max(F.when((first <= k) & (k < end), F.col("v").cast("double")))
+        low, high, rest = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        return low + (high - low) * rest
+
+    found = placed.groupBy(F.col("g").alias("of")).agg(quantile(0.5).alias("p50"), quantile(0.95).alias("p95"))
+    return summary.join(found, F.col("g").eqNullSafe(F.col("of")), "left").select(F.col("g").alias(by), "n", "mean", "p50", "p95")

@@ -13,7 +13,7 @@ from marginalia.functions.coerce import FieldRule, coerce, validate
 from marginalia.functions.passages import passages, sections
 from marginalia.functions.links import matches_note
 from marginalia.functions.strings import json_object_in, normalize_target, redact_paths, stem
-from marginalia.operators.navigate import capped_passages
+from marginalia.operators.navigate import capped_passages, latency_summary
 from marginalia.sources.notefiles import NoteFiles, uuid7
 from marginalia.sources.notes import clean_mdx, ingest, note_fields, split_frontmatter
 from marginalia.sources.store import Store, upsert
@@ -253,11 +253,14 @@ def test_bursts_in_streams_and_tables(spark, tmp_path):
     assert {(r.path, r.deleted, r.n) for r in spark.table("bursts").collect()} == {w for w in want if w[0] != "z.md"}
 
 
-def test_settings(tmp_path):
+def test_settings(tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         Settings(chunk_chars=10, overlap_chars=10)
     (tmp_path / "s.yaml").write_text("chunk_chars: 500\nextensions: ['.md']\n")
     assert Settings.from_file(str(tmp_path / "s.yaml")).extensions == (".md",)
+    assert Settings.from_environment("MARGINALIA_NONE") == Settings()
+    monkeypatch.setenv("MARGINALIA_CONFIG", str(tmp_path / "s.yaml"))
+    assert Settings.from_environment().chunk_chars == 500
     (tmp_path / "s.yaml").write_text("nonsense: 1\n")
     with pytest.raises(ValueError):
         Settings.from_file(str(tmp_path / "s.yaml"))
@@ -285,3 +288,13 @@ def test_matches_note(spark):
     cases = [("my-note", note, True), ("My-Note", note, True), ("my-note.md", note, True), ("folder/my-note", note, True), ("my note", note, True), ("my-note", spaced, True), ("other-note", note, False), ("note", note, False), ("note", "a/b/note.md", True), (None, note, None)]
     df = spark.createDataFrame([c[:2] for c in cases], "t string, p string")
     assert [r.m for r in df.select(matches_note(F.col("t"), F.col("p")).alias("m")).collect()] == [c[2] for c in cases]
+
+
+def test_latency_summary_of_groups_in_many_ranges(spark):
+    rng = random.Random(6)
+    rows = [("hot", rng.randrange(900) / 4) for _ in range(3000)] + [("one", 7.0), ("same", 2.0), ("same", 2.0), ("none", None), (None, 1.0), (None, 4.0), (None, None), ("two", -1.0), ("two", 5.5)]
+    df = spark.createDataFrame(rows, "kind string, v double").withColumns({"c": F.lit("x"), "at": F.lit(1)}).repartition(5)
+    want = df.groupBy("kind").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("p50"), F.percentile("v", F.lit(0.95)).alias("p95"))
+    plain = lambda d: {r.kind: tuple(None if x is None else round(x, 9) for x in r[1:]) for r in d.collect()}
+    assert plain(latency_summary(df, "kind", "v")) == plain(want) and len(plain(want)) == 6
+    assert latency_summary(df.where("false"), "kind", "v").count() == 0
